@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, pii, quality_rules
 from .common import table
 
 Q: dict = {}
@@ -54,3 +54,39 @@ c AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.whole, g.lim,
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN lim > 0 AND middle <= lim THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.decide(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.decide(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+l AS (SELECT *, len(w)::BIGINT AS n_words, list_transform(generate_series(1, len(w) - 7), lambda i: array_to_string(w[i:i + 7], ' ')) AS win FROM w),
+x AS (SELECT doc_id, n_words, unnest(win) AS h, unnest(generate_series(1, n_words - 7)) AS i FROM l WHERE n_words >= 8),
+d AS (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS c FROM x),
+g AS (SELECT doc_id, least(8, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8)) AS covers FROM d WHERE c > 1),
+r AS (SELECT doc_id, sum(covers)::BIGINT AS n FROM g GROUP BY doc_id),
+f AS (SELECT doc_id, unnest(list_distinct(lines)) AS line FROM w),
+m AS (SELECT doc_id, line, length(regexp_replace(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 'x', 'g')) AS nw,
+             length(regexp_replace(line, '\PL+', '', 'g')) AS letters, length(regexp_replace(line, '\P{{Lu}}+', '', 'g')) AS caps,
+             length(regexp_replace(line, '[^#*$%&|<>!]+', '', 'g')) AS marks FROM f),
+k AS (SELECT doc_id, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS left_chars FROM m
+      WHERE NOT (letters = 0 OR marks > {quality_rules.MARKS_A_WORD} * nw OR (letters >= {quality_rules.MIN_LETTERS} AND caps > {quality_rules.CAPITALS} * letters)
+                 OR regexp_matches(line, '(?i)^[\x20\x09-\x0D]*({quality_rules.MENU})[\x20\x09-\x0D]*$')
+                 OR (nw <= {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(line, '(?i){quality_rules.BOILERPLATE}'))) GROUP BY doc_id),
+b AS (SELECT l.doc_id, n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(r.n, 0) AS n_repeat_words, coalesce(left_chars, 0) AS left_chars FROM l LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_chars >= {quality_rules.MIN_LEFT} * word_chars AS kept FROM b
+"""
