@@ -26,11 +26,11 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +41,9 @@ CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Texts encoded at a time, in code points.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 22
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 ODD_SPACE = re.compile(r"[^\S \n\r\t]")
 
 
@@ -112,14 +114,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 class Encoder:
-    """Encodes texts with one of the public tokenizers, each different unit of a batch once.
+    """Encodes texts with one of the public tokenizers, each different unit once.
 
     A unit is a space and what follows it up to the next. The byte-level
     pre-tokenizer always cuts before a space that stands between a word and the
     next, so the ids of a text are those of its units, one after another; texts
     in which a space has white space on both sides or ends the text, or with
-    rarer white space, are encoded whole. Units stay known between batches, up
-    to ``MAX_UNITS``.
+    rarer white space, are encoded whole. The ids of units lie in one array from
+    which texts are gathered; they stay between batches, up to ``MAX_UNITS``.
     """
 
     MAX_UNITS = 1 << 20
@@ -129,30 +131,63 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(tokenizer)
         self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        known, split = self.known, []
-        if len(known) > self.MAX_UNITS:
-            known.clear()
-        for t in texts:
-            if t[-1:] == " " or "  " in t or " \n" in t or " \t" in t or " \r" in t:
-                split.append(None)
-                continue
-            units = t.split(" ")
-            units[1:] = [" " + u for u in units[1:]]
-            split.append(units)
-        new = list({u for units in split if units for u in units if u not in known})
-        known.update(zip(new, self._ids(new), strict=True))
-        known.update(dict.fromkeys((u for u in new if ODD_SPACE.search(u))))
-        out = [None if units is None or None in (ids := [known[u] for u in units]) else b"".join(ids) for units in split]
-        whole = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        self.spaced = np.array([(self.tok.id_to_token(i) or "")[:1] == SPACE for i in range(self.tok.get_vocab_size())])
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.first, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text encoded whole."""
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Units are encoded in one text with a space before each; a token that starts with a space starts the next."""
+        for i in range(0, len(units), 256):
+            some = units[i : i + 256]
+            (ids,) = self.ids([" " + " ".join(some)])
+            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            k = len(self.known)
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while k + len(some) > len(self.n):
+                self.first, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.n))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.first[k : k + len(some)], self.n[k : k + len(some)] = self.used + at[:-1], np.diff(at)
+            self.known.update(zip(some, range(k, k + len(some)), strict=True))
+            self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.known) > self.MAX_UNITS:
+            self.clear()
+        out: list = [None] * len(texts)
+        by_unit = [i for i, t in enumerate(texts) if not (t[-1:] == " " or "  " in t or " \n" in t or " \t" in t or " \r" in t)]
+        units = pc.split_pattern(pa.array([texts[i] for i in by_unit], pa.large_string()), " ")
+        flat = units.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        odd = np.array([bool(ODD_SPACE.search(u)) for u in names], bool)
+        self._learn([u for u, x in zip(names, odd, strict=True) if not x and u not in self.known])
+        place = np.array([self.known.get(u, 0) for u in names], np.int64)
+        index, edges = flat.indices.to_numpy(), units.offsets.to_numpy()
+        if len(by_unit):
+            at = place[index]
+            first, n = self.first[at], self.n[at]
+            starts = edges[:-1]
+            n[starts] = 0  # a text's first unit has no space before it
+            ends = np.cumsum(n)
+            gathered = self.pool[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
+            bounds = np.append(ends[starts], ends[-1])
+            heads = self.ids([t.split(" ", 1)[0] for t in (texts[i] for i in by_unit)])
+            strange = np.logical_or.reduceat(odd[index], starts)
+            for k, i in enumerate(by_unit):
+                if not strange[k]:
+                    out[i] = np.concatenate([heads[k], gathered[bounds[k] : bounds[k + 1]]])
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
+            out[i] = x
         return out
 
 
@@ -168,7 +203,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 def _encode(tokenizer: str, capacity: int, end: int):
     names = [x.split()[0] for x in PIECES.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    last = array("I", [end]).tobytes()
 
     def run(batches):
         part, nth = TaskContext.get().partitionId(), [0] * (capacity + 1)
@@ -176,12 +210,12 @@ def _encode(tokenizer: str, capacity: int, end: int):
         def pieces(docs, texts):
             rows = []
             for doc, ids in zip(docs, encoder(tokenizer).encode(texts), strict=True):
-                ids += last
-                total = len(ids) // 4
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
+                total = len(ids)
                 at = 0
                 for k, stop in enumerate(range(total % capacity or capacity, total + 1, capacity)):
                     n = stop - at
-                    rows.append((doc, k, at, n, zlib.crc32(ids[4 * at : 4 * stop]), part, nth[n]))
+                    rows.append((doc, k, at, n, zlib.crc32(ids[at:stop].tobytes()), part, nth[n]))
                     nth[n] += 1
                     at = stop
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

@@ -125,8 +125,11 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     """Base spans of each row and the surroundings of each entity, staged: id, sha, one span array a kind, near."""
     t = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     t = t.withColumns({k: base_spans(F.col("t"), k) for k in KINDS})
-    near = F.concat(*[F.transform(k, lambda x, k=k: F.struct(_value(k, x["m"]).alias("entity"), _surroundings(F.col("t"), x).alias("around"))) for k in KINDS])
-    return stage(t.select("id", F.sha2("t", 256).alias("sha"), *KINDS, near.alias("near")), "pii-scan")
+
+    def near(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(_value(kind, x["m"]).alias("entity"), _surroundings(F.col("t"), x).alias("around")))
+
+    return stage(t.select("id", F.sha2("t", 256).alias("sha"), *KINDS, F.concat(*map(near, KINDS)).alias("near")), "pii-scan")
 
 
 def disclosing_terms(df: DataFrame, scanned: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame | None:
@@ -193,7 +196,8 @@ def redact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **thre
     """sha (of the text, SHA-256) and the sanitised text of each different text of df: entities and generalised terms become [KIND], removed terms go."""
     mark = lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))
     cut = lambda x, put: F.struct(x["s"].alias("s"), x["e"].alias("e"), put.alias("put"))
-    arrays = [F.transform(k, lambda x, k=k: cut(x, mark(F.lit(k)))) for k in KINDS]
+    marked = lambda kind: F.transform(kind, lambda x: cut(x, mark(F.lit(kind))))
+    arrays = [marked(k) for k in KINDS]
     arrays.append(F.transform("terms", lambda x: cut(x, F.when(x["removed"], F.lit("")).otherwise(mark(x["kind"])))))
     cuts = spans(df, text_col, id_col, **thresholds).groupBy("sha").agg(F.any_value(F.array_sort(F.concat(*arrays))).alias("cuts"))
     texts = df.select(text_or_empty(text_col).alias("t")).withColumn("sha", F.sha2("t", 256))
