@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules
+from . import exact_dedup, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules
 from .common import table
 
 Q: dict = {}
@@ -105,3 +105,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.decide(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.decide(table(spark, sf_dir, "documents"))
