@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules
+from . import exact_dedup, html_extraction, jaccard_join, language_id, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules
 from .common import table
 
 Q: dict = {}
@@ -127,3 +127,8 @@ l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s
 """
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
