@@ -30,12 +30,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES different slots of each 64-bit key, as (keys, PROBES)."""
+def slots(keys: np.ndarray, bits: int, probes: int = PROBES) -> np.ndarray:
+    """Different slots of each 64-bit key, as (keys, probes)."""
     k = keys.astype(np.uint64, copy=False)
     with np.errstate(over="ignore"):
         a, b = mix(k + np.uint64(0x9E3779B97F4A7C15)), mix(k ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-        return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * b[:, None]) & np.uint64(bits - 1)
+        return (a[:, None] + np.arange(probes, dtype=np.uint64) * b[:, None]) & np.uint64(bits - 1)
 
 
 def bits_for(rows: int, max_bits: int = MAX_BITS) -> int:
@@ -61,12 +61,12 @@ def _unpack(data: bytes) -> np.ndarray:
 PARTIAL = pa.schema([("chunk", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def _partials(bits: int, repeated: bool):
+def _partials(bits: int, repeated: bool, probes: int):
     def run(batches):
         held, n = [], 0
 
         def flush():
-            s, c = np.unique(slots(np.concatenate(held), bits).ravel(), return_counts=True)
+            s, c = np.unique(slots(np.concatenate(held), bits, probes).ravel(), return_counts=True)
             chunk, offset = s // np.uint64(CHUNK), (s % np.uint64(CHUNK)).astype(np.int64)
             edges = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] + np.uint64(1))), len(chunk))
             rows = {"chunk": [], "once": [], "twice": []}
@@ -110,16 +110,16 @@ def _merge(repeated: bool):
 class Filter:
     """A built filter: ``probe(column)`` is true for every key that was put in (twice at least, of a repeat filter)."""
 
-    def __init__(self, spark, bits: int, data: bytes):
-        self.bits, self.held = bits, spark.sparkContext.broadcast(data)
+    def __init__(self, spark, bits: int, data: bytes, probes: int = PROBES):
+        self.bits, self.probes, self.held = bits, probes, spark.sparkContext.broadcast(data)
 
     def test(self):
         """A function from an array of 64-bit keys to booleans, for use in tasks."""
-        bits, held = self.bits, self.held
+        bits, probes, held = self.bits, self.probes, self.held
 
         def test(keys: np.ndarray) -> np.ndarray:
             data = np.frombuffer(held.value, np.uint8)
-            s = slots(keys.astype(np.int64, copy=False).view(np.uint64), bits)
+            s = slots(keys.astype(np.int64, copy=False).view(np.uint64), bits, probes)
             return ((data[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
         return test
@@ -134,11 +134,11 @@ class Filter:
         return may(key)
 
 
-def build(keys: DataFrame, rows: int, repeated: bool, max_bits: int = MAX_BITS) -> Filter:
+def build(keys: DataFrame, rows: int, repeated: bool, max_bits: int = MAX_BITS, probes: int = PROBES) -> Filter:
     """keys: one bigint column, nulls are left out. repeated: hold the keys that may occur twice or more, else all."""
     bits = bits_for(rows, max_bits)
-    merged = keys.mapInArrow(_partials(bits, repeated), "chunk long, once binary, twice binary").repartition("chunk").mapInArrow(_merge(repeated), "chunk long, once binary, twice binary")
+    merged = keys.mapInArrow(_partials(bits, repeated, probes), "chunk long, once binary, twice binary").repartition("chunk").mapInArrow(_merge(repeated), "chunk long, once binary, twice binary")
     data = np.zeros(bits // 8, np.uint8)
     for r in merged.select("chunk", "once").collect():  # bits / CHUNK rows at most
         data[r.chunk * (CHUNK // 8) : (r.chunk + 1) * (CHUNK // 8)] = np.frombuffer(bytes(r.once), np.uint8)
-    return Filter(keys.sparkSession, bits, data.tobytes())
+    return Filter(keys.sparkSession, bits, data.tobytes(), probes)

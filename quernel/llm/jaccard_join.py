@@ -6,14 +6,18 @@ the documents it reaches by links.
 
 1. Equal sets become one node (a hash of the set; a second hash checks it), so
    copies cost nothing further on.
-2. Elements are ordered rare first, by a fixed-size count sketch, then by hash; sets
-   that link share an element of their prefixes. Every list of an element has its
-   least node as pivot, and all other nodes of the list are paired with the pivot
-   alone: a list of any length gives pairs in proportion to it.
-3. Each pair is verified once and leaves the set's relation to its pivot: elements
-   of the pivot that it lacks, and its own that the pivot lacks. Links that this
-   finds are joined to classes.
-4. Two sets of one list whose classes still differ both have the list's pivot, so
+2. Linked sets differ in few elements, so of more parts of the hash space than that
+   some part holds the same elements of both. A set's key for each part is a hash of
+   its elements there; sizes are banded, and a set has keys for its band and the one
+   below. A two-count Bloom filter of the keys tells which may occur twice; only
+   those are sent on. Sets with one key form a list. A passage that many documents
+   share makes no list, as the rest of the part differs.
+3. Every node is verified against one pivot, the least node of all its lists, and
+   links found are joined to classes. Lists that lie in one class are done.
+4. In a list that is left, every node is verified against the list's least node, and
+   its relation to that pivot is kept: elements of the pivot that it lacks, and its
+   own that the pivot lacks. New links are joined to classes.
+5. Two sets of one list whose classes still differ both have the list's pivot, so
    their overlap follows from their relations to it:
    ``|x & y| = |p| - |Dx u Dy| + |Ax n Ay|``. Members outside the pivot's class are
    matched against the star by an index on the relations; its lists are ordered by
@@ -23,8 +27,7 @@ the documents it reaches by links.
    blocks, one task for each pair of blocks that has work.
 
 Only relations, never all pairs of a group, are written; no list, class or
-fingerprint table reaches the driver. What is broadcast is the sketch's levels
-(``SKETCH`` bytes) and bounded filters.
+fingerprint table reaches the driver, and what is broadcast are bounded filters.
 
 Defined cases: a null text counts as empty; an empty set links with nothing, and
 the document's class is its own id; a text shorter than an n-gram is one element;
@@ -34,6 +37,9 @@ result; other columns are carried along by `keep_one`.
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +51,8 @@ from .lm_scoring import Words
 
 WIDTH = 5
 PERCENT = 80
-SKETCH = 1 << 22
-SKETCH_CHUNK = 1 << 16
+#: Slots of the key filter that a key fills.
+KEY_PROBES = 2
 #: Members of a block of a star, and bytes of their relations.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 BATCH = 256
@@ -104,59 +110,93 @@ def check_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=1) - (1 << 63)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
-def _digest(width: int):
-    """Rows of documents (id, n, node, check), then the task's rows of the sketch (chunk, counts)."""
-    names = ["id", "n", "node", "check", "chunk", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+class Parts:
+    """Bands of set sizes and the number of parts in each.
+
+    A set of band k links with sets of band k and k + 1 or smaller ones, never with
+    others. In band k linked sets, the smaller of them in it, differ in fewer than
+    ``most[k]`` elements. ``spare[k]`` more parts make up for parts without elements:
+    a set has keys for those only if it has more of them than that, and then so does
+    whatever links with it by such parts alone.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.edges, self.most, self.spare = [1], [], []
+
+    def upto(self, n: int) -> None:
+        while self.edges[-1] <= n:
+            first = self.edges[-1]
+            following = max(first + 1, first * 100 // self.percent + 1)
+            both = following - 1 + (following - 1) * 100 // self.percent
+            most = both * (100 - self.percent) // (100 + self.percent) + 1
+            self.most.append(most)
+            self.spare.append(math.ceil(2 * most * math.exp(-first / (most + 1))) + 2 if most > 1 else 0)
+            self.edges.append(following)
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """The keys of a set in its own band and the one below."""
+        self.upto(len(s))
+        own = bisect.bisect_right(self.edges, len(s)) - 1
+        out = []
+        with np.errstate(over="ignore"):
+            where = bloom.mix(s ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)
+            value = bloom.mix(s + np.uint64(0xE7037ED1A0B428DB))
+            for band in (own, own - 1) if own else (own,):
+                n = self.most[band] + self.spare[band]
+                part = ((where * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+                held = np.zeros(n, np.uint64)
+                np.add.at(held, part, value)
+                full = np.zeros(n, bool)
+                full[part] = True
+                k = bloom.mix(held + bloom.mix(np.arange(n, dtype=np.uint64) + np.uint64(band << 32)))
+                out.append(k if n - full.sum() > self.spare[band] else k[full])
+        return np.concatenate(out)
+
+    def count(self, n: int) -> int:
+        """How many keys a set of a size has at most."""
+        self.upto(n)
+        own = bisect.bisect_right(self.edges, n) - 1
+        return sum(self.most[k] + self.spare[k] for k in ((own, own - 1) if own else (own,)))
+
+
+def _digest(width: int, percent: int):
+    """Rows of documents: id, n, node, check, and how many keys it has at most."""
+    names = ["id", "n", "node", "check", "keys"]
 
     def run(batches):
-        sets, sketch = Sets(width), np.zeros(SKETCH, np.uint32)
+        sets, parts = Sets(width), Parts(percent)
         for b in batches:
-            rows = []
-            for doc, s in zip(b.column(0).to_pylist(), sets(b.column(1).to_pylist()), strict=True):
-                rows.append((doc, len(s), node_of(s) if len(s) else None, check_of(s) if len(s) else None, None, None))
-                np.add.at(sketch, s & np.uint64(SKETCH - 1), 1)
+            rows = [(doc, len(s), node_of(s), check_of(s), parts.count(len(s))) if len(s) else (doc, 0, None, None, 0) for doc, s in zip(b.column(0).to_pylist(), sets(b.column(1).to_pylist()), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        small = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, SKETCH_CHUNK)
-        full = [k for k in range(len(small)) if small[k].any()]
-        if full:
-            none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full, pa.int32()), pa.array([small[k].tobytes() for k in full], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     return run
 
 
-def _add_sketches(batches):
-    held: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held[k] = held.get(k, 0) + np.frombuffer(counts, np.uint8).astype(np.uint32)
-    for k, total in held.items():
-        level = np.log2(np.maximum(total, 1)) * 2
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "counts"])
-
+def _keys(width: int, percent: int, test=None):
+    """(node, keys) of each different set of a task; with a test, of keys that pass it, and without nodes that have none."""
 
-def _prefixes(width: int, percent: int, levels):
     def run(batches):
-        sets, seen = Sets(width), set()
-        level = np.frombuffer(levels.value, np.uint8)
-        base = np.uint8(np.percentile(level, 99))  # what chance alone fills counts as rare
+        sets, parts, seen = Sets(width), Parts(percent), set()
         for b in batches:
-            nodes, parts = [], []
+            nodes, found = [], []
             for s in sets(b.column(0).to_pylist()):
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    by = np.argsort(np.maximum(level[s & np.uint64(SKETCH - 1)], base), kind="stable")
                     nodes.append(node)
-                    parts.append(s[by[: prefix_length(len(s), percent)]].view(np.int64))
-            if nodes:
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))], names=["node", "prefix"])
+                    found.append(parts.keys(s).view(np.int64))
+            if not nodes:
+                continue
+            size = np.array([len(k) for k in found], np.int64)
+            keys = np.concatenate(found)
+            if test is None:
+                yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
+                continue
+            ok = test(keys)
+            counts = np.add.reduceat(ok.astype(np.int64), np.cumsum(size) - size)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys[ok]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], names=["node", "keys"]).filter(pa.array(counts > 0))
 
     return run
 
@@ -196,6 +236,24 @@ def links(overlap, a, b, percent: int):
     return overlap * (100 + percent) >= percent * (a + b)
 
 
+def _verify(percent: int):
+    """(a, b) of the pairs (pivot, node, pivot_data, data) that link."""
+
+    def run(batches):
+        last, p = None, None
+        for b in batches:
+            out = [[], []]
+            for pivot, node, pd, d in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if pivot != last:
+                    last, p = pivot, _long(pd)
+                if 100 * min(len(pd), len(d)) >= percent * max(len(pd), len(d)) and links(len(np.intersect1d(p, _long(d), assume_unique=True)), len(p), len(d) // 6, percent):
+                    out[0].append(node)
+                    out[1].append(pivot)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return run
+
+
 RELATIONS = "pivot long, node long, n_pivot long, n long, lacks binary, adds binary, linked boolean"
 
 
@@ -328,41 +386,51 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def digest(df: DataFrame, text_col: str, id_col: str, width: int) -> tuple[DataFrame, object]:
-    """Staged (id, n, node, check) of every row, and the broadcast levels of the sketch."""
-    spark = df.sparkSession
-    told = stage(df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_digest(width), "id long, n long, node long, check long, chunk int, counts binary"), "digests")
-    levels = np.zeros(SKETCH, np.uint8)
-    merged = told.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_sketches, "chunk int, counts binary")
-    for r in merged.collect():  # SKETCH bytes
-        levels[r["chunk"] * SKETCH_CHUNK : (r["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(bytes(r["counts"]), np.uint8)
-    return told.where("chunk is null").select("id", "n", "node", "check"), spark.sparkContext.broadcast(levels.tobytes())
+def _met(data: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (pivot, node) with both sets."""
+    pivots = data.join(pairs.select("pivot").distinct(), F.col("node") == F.col("pivot"), "left_semi").select(F.col("node").alias("p"), F.col("data").alias("pivot_data"))
+    return data.join(pairs, "node").join(pivots, F.col("pivot") == F.col("p")).select("pivot", "node", "pivot_data", "data")
+
+
+def _named_by(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Classes first (node, comp), whose names second joins further."""
+    over = second.select(F.col("node").alias("comp"), F.col("comp").alias("better"))
+    merged = first.join(over, "comp", "left").select("node", F.coalesce("better", "comp").alias("comp"))
+    return stage(merged.unionByName(second).groupBy("node").agg(F.min("comp").alias("comp")), "classes")
 
 
 def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, n, node, check) of every row, and (node, comp) of every node in a class of two or more."""
-    rows, levels = digest(df, text_col, id_col, width)
+    rows = stage(df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_digest(width, percent), "id long, n long, node long, check long, keys long"), "digests")
     texts = df.select(text_col)
-    prefixes = stage(texts.mapInArrow(_prefixes(width, percent, levels), "node long, prefix array<long>"), "prefixes")
-    entries = prefixes.select("node", F.explode("prefix").alias("element"))
-    lists = entries.groupBy("element").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("element", "pivot")
-    pairs = stage(entries.join(lists, "element").where("node <> pivot").groupBy("pivot", "node").agg(F.count("*").alias("n")).select("pivot", "node"), "pairs")
-    nodes = stage(pairs.select("node").union(pairs.select("pivot")).distinct(), "nodes")
+    total = rows.agg(F.sum("keys")).first()[0] or 0
+    twice = bloom.build(texts.mapInArrow(_keys(width, percent), "key long"), total, repeated=True, probes=KEY_PROBES)
+    entries = stage(texts.mapInArrow(_keys(width, percent, twice.test()), "node long, keys array<long>"), "keys").select("node", F.explode("keys").alias("key"))
+    lists = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("key", "pivot")
+    shared = stage(entries.join(lists, "key").select("key", "node", "pivot"), "lists")
+    pairs = stage(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")), "pairs")
+    nodes = stage(shared.select("node").distinct(), "nodes")
     wanted = bloom.build(nodes, nodes.count(), repeated=False)
-    data = texts.mapInArrow(_wanted_sets(width, wanted.test()), "node long, data binary")
-    data = stage(data, "sets")
-    pivots = data.join(pairs.select("pivot").distinct(), F.col("node") == F.col("pivot"), "left_semi").select(F.col("node").alias("p"), F.col("data").alias("pivot_data"))
-    met = data.join(pairs, "node").join(pivots, F.col("pivot") == F.col("p")).select("pivot", "node", "pivot_data", "data")
-    related = stage(met.mapInArrow(_relate(percent), RELATIONS), "relations")
+    data = stage(texts.mapInArrow(_wanted_sets(width, wanted.test()), "node long, data binary"), "sets")
+    known = stage(components(_met(data, pairs).mapInArrow(_verify(percent), "a long, b long")), "classes")
+    # lists that hold more than one class
+    classed = shared.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = classed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    open_pairs = stage(shared.join(mixed, "key", "left_semi").select("pivot", "node").where("pivot <> node").distinct(), "open-pairs")
+    if open_pairs.isEmpty():
+        return rows, known
+    related = stage(_met(data, open_pairs).mapInArrow(_relate(percent), RELATIONS), "relations")
     linked = related.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    first = stage(components(linked), "classes")
-    more = _rest(related, first, percent)
-    second = components(more)
-    merged = first.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("better")), "comp", "left").select("node", F.coalesce("better", "comp").alias("comp"))
-    # a class named by a node of its own has no row for that node yet
-    roots = merged.select(F.col("comp").alias("node"), "comp").distinct()
-    alone = second.join(first, second["node"] == first["node"], "left_anti").select("node", "comp")
-    return rows, stage(merged.unionByName(alone).unionByName(roots).distinct(), "classes")
+    known = _named_by(known, components(_of_classes(linked, known)))
+    return rows, _named_by(known, components(_rest(related, known, percent)))
+
+
+def _of_classes(links_: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between nodes as links between their classes."""
+    out = links_
+    for c in ("a", "b"):
+        out = out.join(known.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left").withColumn(c, F.coalesce(f"{c}_comp", c)).drop(f"{c}_comp")
+    return out
 
 
 def _rest(related: DataFrame, first: DataFrame, percent: int) -> DataFrame:
