@@ -156,7 +156,8 @@ class Engine:
         wanted = self._normal(ast.Query(s))
         return next((v for v in self.views.values() if self._normal(ast.Query(v.query)) == wanted), None)
 
-    def select(self, s: ast.Select, ctes: dict[str, Table] | None = None, use_views: bool = True) -> DataFrame:
+    def select(self, s: ast.Select, ctes: dict[str, Table] | None = None, use_views: bool = True, keep_order: bool = False) -> DataFrame:
+        """keep_order: with the hidden column of the rows' order, if the table has one."""
         ctes = ctes or {}
         view = self._covering(s) if use_views and s.table.lower() not in ctes else None
         if view is not None:
@@ -182,7 +183,7 @@ class Engine:
                 out.append(c)
         if s.order:
             df = df.orderBy(*[(F.desc_nulls_last if down else F.asc_nulls_first)(known[c.lower()][0]) for c, down in s.order])
-        df = df.select(*out)
+        df = df.select(*out, *([SEQ] if keep_order and SEQ in df.columns else []))
         return df.limit(s.limit) if s.limit is not None else df
 
     def _where(self, df: DataFrame, p: ast.Predicate, binder: Binder, ctes: dict[str, Table]) -> DataFrame:
@@ -203,7 +204,7 @@ class Engine:
         known: dict[str, Table] = {}
         for c in ctes:
             if c.step is None:
-                known[c.name.lower()] = self._of_frame(c.name, self.select(c.query, known))
+                known[c.name.lower()] = self._of_frame(c.name, self.select(c.query, known, keep_order=True))
                 continue
             anchor = self.select(c.query, known)
 
