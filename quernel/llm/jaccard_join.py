@@ -13,10 +13,13 @@ the documents it reaches by links.
    those are sent on. Sets with one key form a list. A passage that many documents
    share makes no list, as the rest of the part differs.
 3. Every node is verified against one pivot, the least node of all its lists, and
-   links found are joined to classes. Lists that lie in one class are done.
-4. In a list that is left, every node is verified against the list's least node, and
-   its relation to that pivot is kept: elements of the pivot that it lacks, and its
-   own that the pivot lacks. New links are joined to classes.
+   links found are joined to classes. Lists that lie in one class are done. A parity
+   bitmap of each set (about one bit an element) bounds the difference of two sets
+   from below; pairs that it rules out never have their sets sent.
+4. The lists that are left with one least node, their pivot, are a star. Bitmaps tell
+   which members may link with a member of another class; those are verified
+   against the pivot, and their relation to it is kept: elements of the pivot that
+   they lack, and their own that the pivot lacks. New links are joined to classes.
 5. Two sets of one list whose classes still differ both have the list's pivot, so
    their overlap follows from their relations to it:
    ``|x & y| = |p| - |Dx u Dy| + |Ax n Ay|``. Members outside the pivot's class are
@@ -161,15 +164,15 @@ class Parts:
 
 
 def _digest(width: int, percent: int):
-    """Rows of documents: id, n, node, check, and how many keys it has at most."""
-    names = ["id", "n", "node", "check", "keys"]
+    """Rows of documents: id, n, node, check, how many keys it has at most, and the hash of its text that came with it."""
+    names = ["id", "n", "node", "check", "keys", "text_key"]
 
     def run(batches):
         sets, parts = Sets(width), Parts(percent)
         for b in batches:
             rows = [(doc, len(s), node_of(s), check_of(s), parts.count(len(s))) if len(s) else (doc, 0, None, None, 0) for doc, s in zip(b.column(0).to_pylist(), sets(b.column(1).to_pylist()), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), b.column(2)], names=names)
 
     return run
 
@@ -201,21 +204,92 @@ def _keys(width: int, percent: int, test=None):
     return run
 
 
-def _wanted_sets(width: int, test):
+def bitmap_of(s: np.ndarray) -> bytes:
+    """For each of 2**k >= max(256, elements) slots, whether an odd number of elements falls in it."""
+    bits = max(256, 1 << (len(s) - 1).bit_length())
+    slot = (bloom.mix(s + np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to the shortest one's length."""
+    length = min(map(len, bitmaps))
+    out = np.zeros((len(bitmaps), length // 8), np.uint64)
+    for k, b in enumerate(bitmaps):
+        w = np.frombuffer(b, "<u8")
+        while len(w) > length // 8:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[k] = w
+    return out
+
+
+def may_link(differ, a, b, percent: int):
+    """differ: a lower bound of the number of elements in one set alone."""
+    both = a + b
+    return (differ <= both - 2 * -(-percent * both // (100 + percent))) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def _near_pairs(percent: int):
+    """Of (pivot, node, pn, n, pb, b), the pairs whose bitmaps don't rule a link out."""
+
+    def run(batches):
+        for batch in batches:
+            pivot, node, pn, n, pb, b = (batch.column(i).to_pylist() for i in range(6))
+            differ = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([x, y]))).sum()) for x, y in zip(pb, b, strict=True)], np.int64)
+            ok = may_link(differ, np.array(pn, np.int64), np.array(n, np.int64), percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["pivot", "node"]).filter(pa.array(ok))
+
+    return run
+
+
+def _near_members(percent: int):
+    """Rows (pivot, i, j, block, node, n, comp, b) in order of (pivot, i, j): the members that may link with one of another class."""
+
+    def kept(held):
+        i, j = held[0]["i"], held[0]["j"]
+        bits = folded([r["b"] for r in held])
+        n, comp, block = (np.array([r[c] for r in held], np.int64) for c in ("n", "comp", "block"))
+        mine, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        keep = np.zeros(len(held), bool)
+        for k in mine:
+            at = other[(comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k]))]
+            if len(at):
+                at = at[may_link(np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64), n[at], n[k], percent)]
+                keep[at] = True
+                keep[k] |= len(at) > 0
+        found = [held[k]["node"] for k in np.flatnonzero(keep)]
+        return pa.RecordBatch.from_arrays([pa.array([held[0]["pivot"]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["pivot", "node"])
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                k = (r["pivot"], r["i"], r["j"])
+                if k != key and held:
+                    yield kept(held)
+                    held = []
+                key = k
+                held.append(r)
+        if held:
+            yield kept(held)
+
+    return run
+
+
+def _sets(width: int):
+    """(node, n, data, bitmap) of each different set of a task."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
     def run(batches):
         sets, seen = Sets(width), set()
         for b in batches:
-            found = [(node_of(s), s) for s in sets(b.column(0).to_pylist()) if len(s)]
-            if not found:
-                continue
-            ok = test(np.array([n for n, _ in found], np.int64))
             rows = []
-            for (node, s), good in zip(found, ok.tolist(), strict=True):
-                if good and node not in seen:
+            for s in sets(b.column(0).to_pylist()):
+                if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    rows.append((node, _short(s)))
+                    rows.append((node, len(s), _short(s), bitmap_of(s)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["node", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "data", "bitmap"])
 
     return run
 
@@ -386,8 +460,25 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _near(bitmaps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (pivot, node) that bitmaps don't rule out."""
+    x = bitmaps.select("node", "n", F.col("bitmap").alias("b"))
+    p = bitmaps.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bitmap").alias("pb"))
+    return pairs.join(x, "node").join(p, "pivot").select("pivot", "node", "pn", "n", "pb", "b").mapInArrow(_near_pairs(percent), "pivot long, node long")
+
+
+def _near_in_stars(bitmaps: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of (pivot, node, comp), the members that may link with a member of another class; each pair of blocks of a star is a unit of work."""
+    stars = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    m = members.join(stars, "pivot").join(bitmaps.select("node", "n", F.col("bitmap").alias("b")), "node")
+    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = m.select("pivot", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "n", "comp", "b")
+    return units.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_near_members(percent), "pivot long, node long").distinct()
+
+
 def _met(data: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (pivot, node) with both sets."""
+    data = data.select("node", "data")
     pivots = data.join(pairs.select("pivot").distinct(), F.col("node") == F.col("pivot"), "left_semi").select(F.col("node").alias("p"), F.col("data").alias("pivot_data"))
     return data.join(pairs, "node").join(pivots, F.col("pivot") == F.col("p")).select("pivot", "node", "pivot_data", "data")
 
@@ -400,8 +491,9 @@ def _named_by(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(id, n, node, check) of every row, and (node, comp) of every node in a class of two or more."""
-    rows = stage(df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_digest(width, percent), "id long, n long, node long, check long, keys long"), "digests")
+    """(id, n, node, check, ...) of every row, and (node, comp) of every node in a class of two or more."""
+    text_key = F.xxhash64(F.col(text_col))
+    rows = stage(df.select(F.col(id_col).cast("long"), F.col(text_col), text_key).mapInArrow(_digest(width, percent), "id long, n long, node long, check long, keys long, text_key long"), "digests")
     texts = df.select(text_col)
     total = rows.agg(F.sum("keys")).first()[0] or 0
     twice = bloom.build(texts.mapInArrow(_keys(width, percent), "key long"), total, repeated=True, probes=KEY_PROBES)
@@ -410,13 +502,17 @@ def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width
     shared = stage(entries.join(lists, "key").select("key", "node", "pivot"), "lists")
     pairs = stage(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")), "pairs")
     nodes = stage(shared.select("node").distinct(), "nodes")
-    wanted = bloom.build(nodes, nodes.count(), repeated=False)
-    data = stage(texts.mapInArrow(_wanted_sets(width, wanted.test()), "node long, data binary"), "sets")
-    known = stage(components(_met(data, pairs).mapInArrow(_verify(percent), "a long, b long")), "classes")
+    # only texts of listed nodes become sets again; they are told by a hash of the text
+    wanted = stage(rows.join(nodes, "node", "left_semi").select("text_key").distinct(), "texts")
+    listed = texts.where(bloom.build(wanted, wanted.count(), repeated=False).probe(text_key))
+    data = stage(listed.mapInArrow(_sets(width), "node long, n long, data binary, bitmap binary"), "sets")
+    near = stage(_near(data, pairs, percent), "near-pairs")
+    known = stage(components(_met(data, near).mapInArrow(_verify(percent), "a long, b long")), "classes")
     # lists that hold more than one class
     classed = shared.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = classed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_pairs = stage(shared.join(mixed, "key", "left_semi").select("pivot", "node").where("pivot <> node").distinct(), "open-pairs")
+    members = classed.join(mixed, "key", "left_semi").select("pivot", "node", "comp").distinct()
+    open_pairs = stage(_near_in_stars(data, members, percent).where("pivot <> node"), "open-pairs")
     if open_pairs.isEmpty():
         return rows, known
     related = stage(_met(data, open_pairs).mapInArrow(_relate(percent), RELATIONS), "relations")

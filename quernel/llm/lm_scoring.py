@@ -73,25 +73,33 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return bloom.mix(u * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
+class _Numbers(dict):
+    """Gives every new word the next number."""
+
+    def __init__(self):
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.names.append(word)
+        return n
+
+
 class Words:
     """Numbers words as they come, with their hashes."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
-        self.names: list[bytes] = []
+        self.number = _Numbers()
+        self.names = self.number.names
         self.hashes = np.zeros(1 << 12, np.uint64)
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        number = self.number
-        first = len(number)
-        for w in tokens:
-            if w not in number:
-                number[w] = len(number)
-                self.names.append(w)
-        while len(number) > len(self.hashes):
+        first = len(self.names)
+        out = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        while len(self.names) > len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[first : len(number)] = [hash_of(w) for w in self.names[first:]]
-        return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        self.hashes[first : len(self.names)] = [hash_of(w) for w in self.names[first:]]
+        return out
 
 
 def _count_words(batches):
