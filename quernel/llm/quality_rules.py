@@ -1,7 +1,7 @@
 """Quality rules, line first: rules judge every line, failing lines go, and documents that lose too much text are rejected.
 
 A line (of those with a word) fails when it has no letter, when marks that
-prose seldom uses make up half a mark a word, when capitals are most of its
+prose seldom uses make up a mark in four words, when capitals are most of its
 letters, when it is a menu entry or a short boilerplate phrase, or when it equals
 an earlier line. A document is rejected when the base rules fail (too few words,
 or too many inside repeated windows of eight words), or when the lines left hold
@@ -27,7 +27,7 @@ MIN_WORDS = 20
 MAX_REPEATED = 30
 #: Share of a document's word characters that clean lines must hold.
 MIN_LEFT = 0.5
-MARKS_A_WORD = 0.5
+MARKS_A_WORD = 0.25
 CAPITALS = 0.6
 MIN_LETTERS = 10
 BOILERPLATE_WORDS = 12
