@@ -59,6 +59,8 @@ KEY_PROBES = 2
 #: Members of a block of a star, and bytes of their relations.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 BATCH = 256
+#: Words that a task remembers at a time.
+WORDS_HELD = 1 << 19
 LAST = (1 << 63) - 1
 
 
@@ -96,7 +98,7 @@ class Sets:
 
     def __call__(self, texts: list):
         for i in range(0, len(texts), BATCH):
-            if len(self.words.number) > 1 << 20:
+            if len(self.words.number) > WORDS_HELD:
                 self.words = Words()
             yield from sets_of(texts[i : i + BATCH], self.width, self.words)
 
