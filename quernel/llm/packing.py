@@ -41,7 +41,7 @@ CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Texts encoded at a time, in code points.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 ODD_SPACE = re.compile(r"[^\S \n\r\t]")
