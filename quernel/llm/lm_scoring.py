@@ -11,17 +11,20 @@ probability of a word after another is
 with every c from the filter, N and V the training tokens and different tokens.
 A text starts after an end token and closes with one.
 
-The filter has ``BITS_A_LEVEL`` bits for each level held, and ``MAX_BITS`` at
-most: the bound of what is broadcast. Where the counts need more, the rarest
-levels' n-grams are left out until they fit, which lowers scores of rare n-grams
-and nothing else.
+The filter grows with the counts: it is cut by range of hashes into shards of
+about ``KEYS_A_RANGE`` tokens, more of them the more tokens there are, each with
+``BITS_A_LEVEL`` bits for each level it holds. No shard leaves its task. The texts
+stand in blocks; a block sends its different n-grams to their shards, with the
+counts they have in its training texts, and each shard sums them, is built, is
+probed, and sends a byte an n-gram back to the block. So the same steps run at
+every size and no n-gram is left out for its number.
 
 Beside it stand exact add-one scores of single tokens (base_score). Counts of the
 ``HOT`` most frequent tokens at most are broadcast; all other tokens of a text
 meet their counts in a shuffled join, so counts are exact at every size.
 
-Tasks sum their own counts before each shuffle: words by word, pairs as packed
-arrays of 56-bit hashes by range, so no n-gram is ever gathered from all rows.
+Blocks sum their own counts before the shuffle, as packed arrays of hashes (the
+range and 48 more bits), so no n-gram is ever gathered from all rows.
 
 Defined cases: a null text counts as empty, whose one token is the end; a null id
 is a training row; with no training row N and V are 0 and base scores are 0;
@@ -44,14 +47,13 @@ FOLDS, HELD_OUT = 7, 2
 HOT = 1 << 17
 #: Longer tokens are never among the broadcast ones, which bounds their size.
 HOT_BYTES = 64
-MAX_BITS = 1 << 29
 BITS_A_LEVEL = 12
 PROBES = 3
 MIX = 0.3
 #: The end of a text; no word can hold a space.
 END = b" "
-#: Tokens whose pairs a task sums before it sends them on, and pairs a range of hashes is meant to have.
-PAIRS_HELD, PAIRS_A_RANGE = 1 << 22, 1 << 20
+#: UTF-8 bytes of a block's texts (one longer text is a block of its own), and tokens a range of hashes is meant to have.
+BLOCK_BYTES, KEYS_A_RANGE = 3 << 20, 1 << 20
 LEVELS = 64
 
 
@@ -119,41 +121,40 @@ def _count_words(batches):
         yield flush()
 
 
-def _count_pairs(ranges: int):
-    """Rows (range, packed hashes, packed counts). The range is the high bits of a hash; 6 low bytes of it are packed."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+class Part:
+    """Neighbouring texts of a block as numbered tokens, and the sorted different n-grams in them."""
 
-    def run(batches):
-        held, n = [], 0
+    def __init__(self, texts: list, ranges: int):
+        tokens, self.ends = [END], [0]
+        for t in texts:
+            tokens += words(t)
+            self.ends.append(len(tokens) - 1)
         known = Words()
+        self.ids = known.numbers(tokens)
+        self.names = known.names
+        h = known.hashes[: len(self.names)]
+        of = h[self.ids]
+        pairs = pair_hash(of[:-1], of[1:])
+        self.keys, at = np.unique(_trimmed(np.concatenate([pairs, h]), ranges), return_inverse=True)
+        #: Places in keys of the pair that ends at each token but the first, and of each different word.
+        self.pair, self.word = at[: len(pairs)], at[len(pairs) :]
 
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            where = (h >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
-            edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(h))
-            low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rows = [(int(where[i]), low[i:j].tobytes(), c[i:j].astype("<u4").tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "low", "n"])
+    def counts(self, trained: np.ndarray) -> np.ndarray:
+        """Of each key, in the trained texts."""
+        each = np.repeat(trained, np.diff(self.ends))
+        n = np.bincount(self.pair[each], minlength=len(self.keys))
+        return n + np.bincount(self.word[self.ids[1:][each]], minlength=len(self.keys))
 
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                tokens = [END]
-                for t in texts[i : i + 256]:
-                    tokens += words(t)
-                if len(known.number) > 1 << 20:
-                    known = Words()
-                ids = known.numbers(tokens)
-                h = known.hashes[ids]
-                held.append(pair_hash(h[:-1], h[1:]))
-                n += len(tokens)
-                if n > PAIRS_HELD:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
 
-    return run
+def _high(ranges: int) -> int:
+    return 64 - (ranges.bit_length() - 1)
+
+
+def _trimmed(h: np.ndarray, ranges: int) -> np.ndarray:
+    """What is sent of a hash: its range, which is its high bits, and its 48 low bits."""
+    high = _high(ranges)
+    keep = np.uint64((1 << 48) - 1) | (np.uint64(((1 << 64) - 1) ^ ((1 << high) - 1)) if ranges > 1 else np.uint64(0))
+    return h & keep
 
 
 def _unpack(low: bytes) -> np.ndarray:
@@ -162,42 +163,105 @@ def _unpack(low: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sum_pairs(ranges: int):
-    """Rows (level, packed 64-bit keys) of the pairs that occur twice or more."""
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+BLOCKS = "block long, row long, doc_id long, trained boolean, text string"
+#: Rows first to last of a block are a part; asked: whether it wants levels.
+KEYS = "range long, block long, first long, last long, asked boolean, low binary, n binary"
+ANSWERS = "block long, first long, last long, range long, levels binary"
+
+
+def _batch(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[x for x, _ in fields])
+
+
+def _in_blocks(batches):
+    block, held = None, 0
+    for b in batches:
+        rows, sizes = b.column("row").to_pylist(), [len(t.encode("utf-8", "replace")) if t else 0 for t in b.column("text").to_pylist()]
+        out = []
+        for row, size in zip(rows, sizes, strict=True):
+            if block is None or held + size > BLOCK_BYTES:
+                block, held = row, 0
+            held += size + 1
+            out.append(block)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *b.select(["row", "doc_id", "trained", "text"]).columns], names=["block", "row", "doc_id", "trained", "text"])
+
+
+def blocks(df: DataFrame) -> DataFrame:
+    """df: doc_id, text, trained. Staged, so that a row's block and number never change."""
+    return stage(df.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_in_blocks, BLOCKS), "lm-blocks")
+
+
+def _keys(ranges: int, asked: bool):
+    high = np.uint64(_high(ranges) % 64)
 
     def run(batches):
-        held: dict[int, list] = {}
+        block, rows, trained, texts = None, [], [], []
+
+        def flush():
+            part = Part(texts, ranges)
+            n = part.counts(np.array(trained, bool))
+            keys, n = (part.keys, n) if asked else (part.keys[n > 0], n[n > 0])
+            if not len(keys):
+                return
+            where = (keys >> high).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+            edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(keys))
+            low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            yield _batch([(int(where[i]), block, rows[0], rows[-1], asked, low[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)], KEYS)
+
         for b in batches:
-            for where, low, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(where, []).append((low, n))
-        for where, parts in held.items():
-            h = np.concatenate([_unpack(low) for low, _ in parts])
-            n = np.concatenate([np.frombuffer(x, "<u4") for _, x in parts]).astype(np.int64)
-            h, back = np.unique(h, return_inverse=True)
-            n = np.bincount(back, n).astype(np.int64)
-            h = h[n > 1] | ((np.uint64(where) << shift) if ranges > 1 else np.uint64(0))
-            q = np.log2(n[n > 1] + 0.5).astype(np.int64)
-            for level in np.unique(q):
-                yield pa.RecordBatch.from_arrays([pa.array([int(level)], pa.int32()), pa.array([h[q == level].astype("<u8").tobytes()], pa.binary())], names=["level", "keys"])
+            for k, row, t, text in zip(*(b.column(x).to_pylist() for x in ("block", "row", "trained", "text")), strict=True):
+                if k != block and rows:
+                    yield from flush()
+                    rows, trained, texts = [], [], []
+                block = k
+                rows.append(row)
+                trained.append(t)
+                texts.append(text)
+        if rows:
+            yield from flush()
 
     return run
 
 
-def _pair_key(h: np.ndarray, ranges: int) -> np.ndarray:
-    """What is left of a pair's hash after packing: its range and its 48 low bits."""
-    high = 64 - (ranges.bit_length() - 1)
-    keep = np.uint64((1 << 48) - 1) | (np.uint64(((1 << 64) - 1) ^ ((1 << high) - 1)) if ranges > 1 else np.uint64(0))
-    return h & keep
+def _answers(ranges: int):
+    """Rows of KEYS, sorted by range. A range's filter is built from its sums and probed for what its parts ask."""
 
+    def answered(where: int, held: list):
+        h = np.concatenate([_unpack(x[4]) for x in held])
+        h, back = np.unique(h, return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.frombuffer(x[5], "<u4") for x in held])).astype(np.int64)
+        h |= (np.uint64(where) << np.uint64(_high(ranges))) if ranges > 1 else np.uint64(0)
+        levels = LogFilter.of(h, n).levels(h)
+        at = 0
+        for block, first, last, asked, low, _ in held:
+            size = len(low) // 6
+            if asked:
+                yield _batch([(block, first, last, where, levels[back[at : at + size]].tobytes())], ANSWERS)
+            at += size
 
-def _pack_words(batches):
-    for b in batches:
-        n = b.column(1).to_numpy()
-        h = np.array([hash_of(w.encode()) for w in b.column(0).to_pylist()], np.uint64)
-        q = np.log2(n + 0.5).astype(np.int64)
-        for level in np.unique(q):
-            yield pa.RecordBatch.from_arrays([pa.array([int(level)], pa.int32()), pa.array([h[q == level].astype("<u8").tobytes()], pa.binary())], names=["level", "keys"])
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for where, *x in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if where != now and held:
+                    yield from answered(now, held)
+                    held = []
+                now = where
+                held.append(x)
+        if held:
+            yield from answered(now, held)
+
+    return run
+
+
+def quantised(n: np.ndarray) -> np.ndarray:
+    return np.where(n > 1, np.log2(n + 0.5), 0).astype(np.int64)
+
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 1.4 * np.exp2(level.astype(float)), 0.0)
 
 
 def _slots(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -209,85 +273,64 @@ def _slots(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
         return (((low + np.arange(PROBES, dtype=np.uint64)[:, None] * b) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)
 
 
-def _set_bits(bits: int, least: int):
-    def run(batches):
-        held, n = [], 0
-
-        def flush():
-            s = np.unique(np.concatenate(held))
-            chunk, offset = s // np.uint64(bloom.CHUNK), (s % np.uint64(bloom.CHUNK)).astype(np.int64)
-            edges = np.append(np.flatnonzero(np.diff(chunk, prepend=chunk[0] + np.uint64(1))), len(s))
-            rows = [(int(chunk[i]), bloom._pack(offset[i:j]), b"") for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], schema=bloom.PARTIAL)
+class LogFilter:
+    """The filter of a range of hashes. levels(keys): the level found of each key, 0 where there is none."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    @staticmethod
+    def of(keys: np.ndarray, n: np.ndarray) -> LogFilter:
+        q = quantised(n)
+        bits = max(64, int(q.sum()) * BITS_A_LEVEL)
+        held = np.zeros(bits, bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            held[_slots(keys[q >= level], level, bits)] = True
+        return LogFilter(bits, held)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        q = np.zeros(len(keys), np.uint8)
+        alive = np.arange(len(keys))
+        for level in range(1, LEVELS):
+            alive = alive[self.data[_slots(keys[alive], level, self.bits)].all(axis=0)]
+            if not len(alive):
+                break
+            q[alive] = level
+        return q
 
-        for b in batches:
-            for level, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if level < least:
-                    continue
-                k = np.frombuffer(keys, "<u8")
-                for j in range(1, level + 1):
-                    s = _slots(k, j, bits).ravel()
-                    held.append(s)
-                    n += len(s)
-                if n > bloom.FLUSH * 4:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
 
-    return run
+class Pairs:
+    """The filter's shards, as what is sent to build them: words and pairs of the staged training rows."""
 
+    def __init__(self, rows: DataFrame, ranges: int):
+        self.rows, self.ranges = rows, ranges
 
-class LogFilter:
-    """The built filter. counts(keys): the count that the levels found stand for, 0 where there is none."""
+    def answers(self, keys: DataFrame) -> DataFrame:
+        """keys: KEYS of all training rows and of what asks."""
+        return keys.repartition("range").sortWithinPartitions("range").mapInArrow(_answers(self.ranges), ANSWERS)
 
-    def __init__(self, bits: int, least: int, data):
-        self.bits, self.least, self.data = bits, least, data
+    def keys(self, asked: bool, rows: DataFrame | None = None) -> DataFrame:
+        return (self.rows if rows is None else rows).mapInArrow(_keys(self.ranges, asked), KEYS)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(self.data.value, np.uint8)
-        q = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        for level in range(1, LEVELS):
-            k = keys[alive]
-            ok = np.ones(len(k), bool)
-            for s in _slots(k, level, self.bits):
-                at = np.flatnonzero(ok)
-                s = s[at]
-                ok[at] = (data[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[ok]
-            if not len(alive):
-                break
-            q[alive] = level
-        q[q < self.least] = 0
-        return np.where(q > 0, 1.4 * np.exp2(q), 0.0)
-
-
-def build_filter(packed: DataFrame, max_bits: int = MAX_BITS) -> LogFilter:
-    """packed: staged rows (level, keys)."""
-    spark = packed.sparkSession
-    held = {r["level"]: r["n"] for r in packed.groupBy("level").agg(F.sum(F.octet_length("keys") / 8).cast("long").alias("n")).collect()}  # LEVELS rows at most
-    least = 1
-    need = lambda: sum(n * level for level, n in held.items() if level >= least) * BITS_A_LEVEL
-    while need() > max_bits and least < LEVELS:
-        least += 1
-    bits = max(bloom.CHUNK, -(-need() // bloom.CHUNK) * bloom.CHUNK)
-    merged = packed.mapInArrow(_set_bits(bits, least), "chunk long, once binary, twice binary").repartition("chunk").mapInArrow(bloom._merge(False), "chunk long, once binary, twice binary")
-    data = np.zeros(bits // 8, np.uint8)
-    for r in merged.select("chunk", "once").toLocalIterator():  # bits / CHUNK rows
-        data[r["chunk"] * (bloom.CHUNK // 8) : (r["chunk"] + 1) * (bloom.CHUNK // 8)] = np.frombuffer(bytes(r["once"]), np.uint8)
-    return LogFilter(bits, least, spark.sparkContext.broadcast(data.tobytes()))
+        """The counts that the levels of a few hashes stand for."""
+        k = _trimmed(keys.astype(np.uint64), self.ranges)
+        where = [int(x) >> _high(self.ranges) for x in k]
+        rows = [(where[i], i, 0, 0, True, k[i : i + 1].astype("<u8").tobytes()[:6], bytes(4)) for i in range(len(k))]
+        asked = self.rows.sparkSession.createDataFrame(rows, KEYS)
+        told = {r["block"]: r["levels"][0] for r in self.answers(self.keys(False).where(F.col("range").isin(where)).unionByName(asked)).collect()}
+        return count_of(np.array([told[i] for i in range(len(k))]))
 
 
 class Model:
-    def __init__(self, counts: DataFrame, tokens: int, different: int, hot, pairs: LogFilter, ranges: int):
-        self.counts, self.tokens, self.different, self.hot, self.pairs, self.ranges = counts, tokens, different, hot, pairs, ranges
+    def __init__(self, counts: DataFrame, tokens: int, different: int, hot, pairs: Pairs):
+        self.counts, self.tokens, self.different, self.hot, self.pairs = counts, tokens, different, hot, pairs
 
 
-def train(texts: DataFrame, max_bits: int = MAX_BITS) -> Model:
-    """texts: one column of training texts."""
-    spark = texts.sparkSession
-    counts = stage(texts.mapInArrow(_count_words, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+def _fit(rows: DataFrame) -> Model:
+    """rows: staged BLOCKS."""
+    spark = rows.sparkSession
+    counts = stage(rows.where("trained").select("text").mapInArrow(_count_words, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, different = total["n"] or 0, total["v"]
     short = counts.where(F.octet_length("token") <= HOT_BYTES).withColumn("grade", F.floor(F.log2("n") * 8).cast("int"))
@@ -298,58 +341,58 @@ def train(texts: DataFrame, max_bits: int = MAX_BITS) -> Model:
             break
         taken, least = taken + grades[grade], grade
     hot = {r["token"].encode(): r["n"] for r in short.where(F.col("grade") >= F.lit(least)).select("token", "n").collect()} if least is not None else {}  # HOT rows at most
-    ranges = 1 << max(0, (max(1, tokens // PAIRS_A_RANGE) - 1).bit_length())
-    pairs = texts.mapInArrow(_count_pairs(ranges), "range long, low binary, n binary").repartition("range").mapInArrow(_sum_pairs(ranges), "level int, keys binary")
-    single = counts.where("n > 1").mapInArrow(_pack_words, "level int, keys binary")
-    packed = stage(pairs.unionByName(single), "lm-levels")
-    return Model(counts, tokens, different, spark.sparkContext.broadcast(hot), build_filter(packed, max_bits), ranges)
+    ranges = 1 << max(0, (max(1, tokens // KEYS_A_RANGE) - 1).bit_length())
+    return Model(counts, tokens, different, spark.sparkContext.broadcast(hot), Pairs(rows, ranges))
+
+
+def train(texts: DataFrame) -> Model:
+    """texts: one column of training texts."""
+    return _fit(blocks(texts.select(F.lit(None).cast("long").alias("doc_id"), F.col(texts.columns[0]).alias("text"), F.lit(True).alias("trained"))))
 
 
-SCORED = "n_tokens long, hot_known long, hot_sum double, score double, tail array<string>"
+SCORED = "doc_id long, n_tokens long, hot_known long, hot_sum double, score double, tail array<string>"
 
 
-def _score(hot, lm: LogFilter, tokens: int, different: int, ranges: int, carried: list[str]):
+def _score(hot, tokens: int, different: int, ranges: int):
     floor = 1.0 / (tokens + different + 1)
 
-    def run(batches):
-        known = Words()
-        exact, soft = np.zeros(0), np.zeros(0)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                all_tokens, ends = [END], [0]
-                for t in texts[i : i + 256]:
-                    all_tokens += words(t)
-                    ends.append(len(all_tokens) - 1)
-                if len(known.number) > 1 << 20:
-                    known, exact, soft = Words(), np.zeros(0), np.zeros(0)
-                ids = known.numbers(all_tokens)
-                new = known.names[len(exact) :]
-                exact = np.append(exact, [hot.value.get(w, -1) for w in new])
-                soft = np.append(soft, lm.counts(known.hashes[len(soft) : len(known.names)]))
-                h, c, s = known.hashes[ids], exact[ids][1:], soft[ids]
-                pair = lm.counts(_pair_key(pair_hash(h[:-1], h[1:]), ranges))
-                alone = (s[1:] + 1) * floor
-                after = np.minimum(1.0, pair / np.maximum(s[:-1], 1.0))
-                p = np.log10(MIX * after + (1 - MIX) * np.minimum(1.0, alone))
-                starts, edges = np.array(ends[:-1]), np.array(ends)
-                is_hot = c >= 0
-                add = lambda x: np.add.reduceat(x, starts)
-                rare = np.flatnonzero(~is_hot)
-                names = [known.names[k].decode("utf-8", "replace") for k in ids[rare + 1].tolist()]
-                offsets = np.searchsorted(rare, edges)
-                tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(names, pa.string()))
-                own = b.select(carried).slice(i, len(starts))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(edges)), pa.array(add(is_hot.astype(np.int64))), pa.array(add(np.where(is_hot, np.log10(np.maximum(c, 0) + 1), 0.0))), pa.array(add(p)), tail], names=[*carried, "n_tokens", "hot_known", "hot_sum", "score", "tail"])
+    def scored(own: pa.Table, levels: np.ndarray) -> pa.Table:
+        part = Part(own.column("text").to_pylist(), ranges)
+        if len(levels) != len(part.keys):
+            raise ValueError("a part's levels are not those of its n-grams")
+        lm, ids = count_of(levels), part.ids
+        c, s = np.array([hot.value.get(w, -1) for w in part.names])[ids][1:], lm[part.word][ids]
+        alone = (s[1:] + 1) * floor
+        after = np.minimum(1.0, lm[part.pair] / np.maximum(s[:-1], 1.0))
+        p = np.log10(MIX * after + (1 - MIX) * np.minimum(1.0, alone))
+        starts, edges = np.array(part.ends[:-1]), np.array(part.ends)
+        is_hot = c >= 0
+        add = lambda x: np.add.reduceat(x, starts)
+        rare = np.flatnonzero(~is_hot)
+        names = [part.names[k].decode("utf-8", "replace") for k in ids[rare + 1].tolist()]
+        tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, edges), pa.int32()), pa.array(names, pa.string()))
+        sums = [np.diff(edges), add(is_hot.astype(np.int64)), add(np.where(is_hot, np.log10(np.maximum(c, 0) + 1), 0.0)), add(p)]
+        return pa.table([own.column("doc_id"), *map(pa.array, sums), tail], names=["doc_id", "n_tokens", "hot_known", "hot_sum", "score", "tail"])
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        at = np.asarray(rows.column("row"))
+        parts: dict[tuple, list] = {}
+        for first, last, where, levels in zip(*(answers.column(x).to_pylist() for x in ("first", "last", "range", "levels")), strict=True):
+            parts.setdefault((first, last), []).append((where, levels))
+        out = []
+        for (first, last), x in sorted(parts.items()):
+            i, j = np.searchsorted(at, first), np.searchsorted(at, last, "right")
+            out.append(scored(rows.slice(i, j - i), np.frombuffer(b"".join(y for _, y in sorted(x)), np.uint8)))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row."""
-    n, v = model.tokens, model.different
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = stage(rows.mapInArrow(_score(model.hot, model.pairs, n, v, model.ranges, ["doc_id"]), f"doc_id long, {SCORED}").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+def _scored(rows: DataFrame, keys: DataFrame, model: Model) -> DataFrame:
+    n, v, pairs = model.tokens, model.different, model.pairs
+    asked = rows.select("block", "row", "doc_id", "text").groupBy("block").cogroup(pairs.answers(keys).groupBy("block"))
+    told = stage(asked.applyInArrow(_score(model.hot, n, v, pairs.ranges), SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     tail = told.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
     sums = tail.join(model.counts, "token").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
     joined = told.drop("tail").join(sums, "row", "left")
@@ -358,8 +401,15 @@ def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "do
     return joined.select("doc_id", "n_tokens", (F.col("hot_known") + zero("tail_known")).cast("long").alias("n_known"), base.alias("base_score"), "score")
 
 
+def score(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row."""
+    rows = blocks(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("trained")))
+    return _scored(rows, model.pairs.keys(False).unionByName(model.pairs.keys(True, rows)), model)
+
+
 def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     fold = lambda c: F.coalesce(F.crc32(c.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    model = train(df.where(~fold(F.col(id_col))).select(text_col))
-    told = score(df, model, text_col, id_col)
+    rows = blocks(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (~fold(F.col(id_col))).alias("trained")))
+    model = _fit(rows)
+    told = _scored(rows, model.pairs.keys(True), model)
     return told.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

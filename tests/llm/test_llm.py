@@ -339,6 +339,23 @@ def test_lm_tail_joins_exactly(docs, rows, monkeypatch):
     assert few == {(x["doc_id"], x["n_tokens"], x["n_known"], round(x["base_score"], 6)) for x in lm_scoring.decide(docs).collect()}
 
 
+def test_lm_filter_keeps_every_level(spark, monkeypatch):
+    import numpy as np
+
+    text = " ".join(f"x{i // 2} y{i // 3}" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert not hasattr(lm_scoring, "MAX_BITS")  # no bound on what all filters hold together
+    monkeypatch.setattr(lm_scoring, "KEYS_A_RANGE", 1 << 9)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 12)
+    model = lm_scoring.train(df.select("text"))
+    got = model.pairs.counts(np.array([lm_scoring.hash_of(b"x%d" % i) for i in range(100)], np.uint64))
+    assert (got > 0).all()  # each occurs twice
+    many = lm_scoring.score(df, model).first()["score"]
+    monkeypatch.undo()
+    one = lm_scoring.score(df, lm_scoring.train(df.select("text"))).first()["score"]
+    assert many == pytest.approx(one, rel=0.02)  # as many ranges as are needed, alike but for false positives
+
+
 def prose(r, n, vocabulary="abcdefgh"):
     return " ".join("".join(r.choice(vocabulary) for _ in range(r.randint(2, 9))) for _ in range(n)).capitalize() + "."
 
