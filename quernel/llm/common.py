@@ -44,14 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
 
     The folder goes when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quernel/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

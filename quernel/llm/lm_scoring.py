@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The model counts words and pairs of neighbouring words over all training texts. A
-count c of 2 or more is quantised to q = floor(log2 c), and the filter holds the
-n-gram once for each level 1..q: a probe asks level after level until one is
+count c is quantised to q = 1 + floor(log2 c), so that an n-gram seen once has level
+1 and one never seen has none, and the filter holds it for each level 1..q: a probe asks level after level until one is
 missing, which bounds the count from above with a small one-sided error. The
 probability of a word after another is
 
@@ -24,7 +24,8 @@ Beside it stand exact add-one scores of single tokens (base_score). Counts of th
 meet their counts in a shuffled join, so counts are exact at every size.
 
 Blocks sum their own counts before the shuffle, as packed arrays of hashes (the
-range and 48 more bits), so no n-gram is ever gathered from all rows.
+range and 40 more bits, by which two n-grams of a range are hardly ever taken for
+one), byte planes first: they compress. No n-gram is ever gathered from all rows.
 
 Defined cases: a null text counts as empty, whose one token is the end; a null id
 is a training row; with no training row N and V are 0 and base scores are 0;
@@ -151,15 +152,20 @@ def _high(ranges: int) -> int:
 
 
 def _trimmed(h: np.ndarray, ranges: int) -> np.ndarray:
-    """What is sent of a hash: its range, which is its high bits, and its 48 low bits."""
+    """What is sent of a hash: its range, which is its high bits, and its 40 low bits."""
     high = _high(ranges)
-    keep = np.uint64((1 << 48) - 1) | (np.uint64(((1 << 64) - 1) ^ ((1 << high) - 1)) if ranges > 1 else np.uint64(0))
+    keep = np.uint64((1 << 40) - 1) | (np.uint64(((1 << 64) - 1) ^ ((1 << high) - 1)) if ranges > 1 else np.uint64(0))
     return h & keep
 
 
-def _unpack(low: bytes) -> np.ndarray:
-    out = np.zeros((len(low) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+def _packed(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of numbers, as planes: all first bytes, then all second ones."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
     return out.view("<u8").ravel()
 
 
@@ -190,7 +196,7 @@ def _in_blocks(batches):
 
 def blocks(df: DataFrame) -> DataFrame:
     """df: doc_id, text, trained. Staged, so that a row's block and number never change."""
-    return stage(df.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_in_blocks, BLOCKS), "lm-blocks")
+    return stage(df.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_in_blocks, BLOCKS), "lm-blocks", compression="zstd")
 
 
 def _keys(ranges: int, asked: bool):
@@ -207,8 +213,7 @@ def _keys(ranges: int, asked: bool):
                 return
             where = (keys >> high).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
             edges = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(keys))
-            low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield _batch([(int(where[i]), block, rows[0], rows[-1], asked, low[i:j].tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)], KEYS)
+            yield _batch([(int(where[i]), block, rows[0], rows[-1], asked, _packed(keys[i:j], 5), _packed(n[i:j], 4)) for i, j in zip(edges[:-1], edges[1:], strict=True)], KEYS)
 
         for b in batches:
             for k, row, t, text in zip(*(b.column(x).to_pylist() for x in ("block", "row", "trained", "text")), strict=True):
@@ -229,14 +234,14 @@ def _answers(ranges: int):
     """Rows of KEYS, sorted by range. A range's filter is built from its sums and probed for what its parts ask."""
 
     def answered(where: int, held: list):
-        h = np.concatenate([_unpack(x[4]) for x in held])
+        h = np.concatenate([_unpacked(x[4], 5) for x in held])
         h, back = np.unique(h, return_inverse=True)
-        n = np.bincount(back, np.concatenate([np.frombuffer(x[5], "<u4") for x in held])).astype(np.int64)
+        n = np.bincount(back, np.concatenate([_unpacked(x[5], 4) for x in held])).astype(np.int64)
         h |= (np.uint64(where) << np.uint64(_high(ranges))) if ranges > 1 else np.uint64(0)
         levels = LogFilter.of(h, n).levels(h)
         at = 0
         for block, first, last, asked, low, _ in held:
-            size = len(low) // 6
+            size = len(low) // 5
             if asked:
                 yield _batch([(block, first, last, where, levels[back[at : at + size]].tobytes())], ANSWERS)
             at += size
@@ -257,11 +262,12 @@ def _answers(ranges: int):
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
-    return np.where(n > 1, np.log2(n + 0.5), 0).astype(np.int64)
+    return np.where(n > 0, 1 + np.floor(np.log2(np.maximum(n, 1) + 0.5)), 0).astype(np.int64)
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 1.4 * np.exp2(level.astype(float)), 0.0)
+    """Level 1 is count 1; the others stand for about the middle of their counts."""
+    return np.where(level > 1, 0.7 * np.exp2(level.astype(float)), level.astype(float))
 
 
 def _slots(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -316,7 +322,7 @@ class Pairs:
         """The counts that the levels of a few hashes stand for."""
         k = _trimmed(keys.astype(np.uint64), self.ranges)
         where = [int(x) >> _high(self.ranges) for x in k]
-        rows = [(where[i], i, 0, 0, True, k[i : i + 1].astype("<u8").tobytes()[:6], bytes(4)) for i in range(len(k))]
+        rows = [(where[i], i, 0, 0, True, _packed(k[i : i + 1], 5), bytes(4)) for i in range(len(k))]
         asked = self.rows.sparkSession.createDataFrame(rows, KEYS)
         told = {r["block"]: r["levels"][0] for r in self.answers(self.keys(False).where(F.col("range").isin(where)).unionByName(asked)).collect()}
         return count_of(np.array([told[i] for i in range(len(k))]))

@@ -356,6 +356,20 @@ def test_lm_filter_keeps_every_level(spark, monkeypatch):
     assert many == pytest.approx(one, rel=0.02)  # as many ranges as are needed, alike but for false positives
 
 
+def test_lm_tells_seen_once_from_unseen(spark):
+    import numpy as np
+
+    text = " ".join(f"x{i}" for i in range(500)) + " twice twice thrice thrice thrice"
+    model = lm_scoring.train(spark.createDataFrame([(text,)], "text string"))
+    h = lambda w: lm_scoring.hash_of(w.encode())
+    once = model.pairs.counts(np.array([h(f"x{i}") for i in range(200)], np.uint64))
+    never = model.pairs.counts(np.array([h(f"z{i}") for i in range(200)], np.uint64))
+    assert (once >= 1).all() and (once == 1).mean() > 0.9 and (never == 0).mean() > 0.9
+    df = spark.createDataFrame([(1, "x10 x11 x12 x13"), (2, "z10 z11 z12 z13"), (3, "x13 x11 x10 x12")], "doc_id long, text string")
+    by = {x["doc_id"]: x["score"] for x in lm_scoring.score(df, model).collect()}
+    assert by[1] > by[3] > by[2]  # pairs and words seen once count
+
+
 def prose(r, n, vocabulary="abcdefgh"):
     return " ".join("".join(r.choice(vocabulary) for _ in range(r.randint(2, 9))) for _ in range(n)).capitalize() + "."
 
