@@ -8,9 +8,9 @@ then estimates how strongly a term reveals an entity near which it stands:
 
 with N the documents, n_e those with the entity, n_t those with the term, n_te
 those with the term near the entity. It is 1 when a term occurs near the entity
-alone, about 0 when the two are independent. Terms that stand between at least
-``min_contexts`` different pairs of neighbours near an entity, mostly others each
-time (so that copies and near copies of a passage prove nothing), are judged:
+alone, about 0 when the two are independent. Every term that stands in at least
+``min_contexts`` different surroundings of an entity, whatever its neighbours there
+(copies of a passage are one), is judged:
 from ``generalise_at`` on they are replaced by what the entity is, from
 ``remove_at`` on removed, in every document.
 
@@ -50,8 +50,6 @@ _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Code points on either side of an entity that are its surroundings.
 NEAR = 80
 MIN_CONTEXTS = 3
-#: Share of a term's contexts near an entity that must have neighbours of their own: near copies of a passage are no evidence.
-VARIED = 0.5
 GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
 #: A table of terms is broadcast up to this many rows.
@@ -137,19 +135,20 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
 
 def disclosing_terms(df: DataFrame, scanned: DataFrame, text_col: str = "text", min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame | None:
     """term, kind of the entity it reveals most, disclosure, removed; None if no term has enough contexts."""
-    seen = scanned.select("sha", F.explode("near").alias("x")).select("sha", "x.entity", "x.around")
+    terms = lambda around: F.regexp_extract_all(around, F.lit(TERM), F.lit(0))
     total = float(scanned.count())
-    around = seen.groupBy("entity", "around").agg(F.count("*").alias("n"))  # copies of a passage are one context
-    told = around.withColumn("terms", F.regexp_extract_all("around", F.lit(TERM), F.lit(0)))
-    beside = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.concat_ws(" ", F.get("terms", i - 1), F.get("terms", i + 1)).alias("beside")))
-    told = told.select("entity", "n", F.explode(F.array_distinct(beside)).alias("x")).groupBy("entity", "x.term", "x.beside").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-    pairs = told.groupBy("entity", "term").agg(F.count("*").alias("besides"), F.sum("contexts").alias("contexts"), F.sum("n").alias("n_te"))
-    pairs = pairs.where((F.col("besides") >= min_contexts) & (F.col("besides") >= VARIED * F.col("contexts")))
-    entities = around.groupBy("entity").agg(F.sum("n").alias("n_e"))
-    # a term near entities in more texts than it may have rows can't reach the threshold
-    widely = seen.select("sha", F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(TERM), F.lit(0)))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts"))
-    most = F.col("n_te") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - generalise_at))
-    pairs = pairs.join(entities, "entity").join(widely, "term").where(F.col("texts") <= most)
+    # documents, not occurrences, are counted: what a document tells of an entity is put together first
+    told = F.transform(F.array_distinct(F.transform("near", lambda x: x["entity"])), lambda e: F.struct(e.alias("entity"), F.array_distinct(F.transform(F.filter("near", lambda x: x["entity"] == e), lambda x: x["around"])).alias("arounds")))
+    seen = scanned.select(F.explode(told).alias("x")).select("x.entity", "x.arounds").groupBy("entity", "arounds").agg(F.count("*").alias("n"))
+    entities = seen.groupBy("entity").agg(F.sum("n").alias("n_e"))
+    near = seen.select("entity", "arounds", F.explode(F.array_distinct(F.flatten(F.transform("arounds", terms)))).alias("term"), "n")
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_te")).where(F.col("contexts") >= min_contexts)
+    pairs = stage(pairs.join(entities, "entity").select("entity", "term", "n_te", "n_e"), "pii-near")
+    # a term near entities in more texts than any of its entities allows can't reach the threshold; both sides have a term once
+    most = F.max(F.col("n_te") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - generalise_at)))
+    widely = scanned.select("sha", F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: terms(x["around"]))))).alias("term")).groupBy("term").agg(F.count_distinct("sha").alias("texts"))
+    kept = pairs.groupBy("term").agg(most.alias("most")).join(widely, "term").where(F.col("texts") <= F.col("most")).select("term")
+    pairs = pairs.join(_small(stage(kept, "pii-kept")), "term")
     candidates = stage(pairs.select("entity", "term", "n_te", "n_e"), "pii-pairs")
     if candidates.isEmpty():
         return None

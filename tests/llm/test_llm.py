@@ -131,6 +131,16 @@ def test_pii_terms_that_reveal(spark):
     assert not any("Zorblax" in t or "j@x.org" in t for t in clean) and "copied passage Quux here [EMAIL]" in clean
 
 
+def test_pii_terms_with_fixed_neighbours(spark):
+    r = random.Random(6)
+    some = lambda n: " ".join(f"w{r.randint(0, 60)}" for _ in range(n))
+    texts = [f"{some(20)} Contact Jane Miller j@x.org {some(20)}" for _ in range(5)] + [some(20) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in pii.decide(df).collect()}
+    assert all(f"term:{texts[i].index(w)}:" in got[i] for i in range(5) for w in ("Jane", "Miller"))
+    assert all("term" not in got[i] for i in range(5, len(texts)))
+
+
 def brute_rules(t):
     t = t or ""
     w = words(t)
