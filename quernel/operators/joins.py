@@ -26,8 +26,8 @@ def inner_join(left: DataFrame, right: DataFrame, left_column: str, right_column
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """A join whose left side may have hot keys, for plans that AQE can't split: left rows spread over salts, right rows are there for each."""
-    x = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+    """A join whose left side may have hot keys, for plans that AQE can't split: left rows spread over salts, right rows are there for each. The salt is a hash of the row, so a task that runs again deals rows alike."""
+    x = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
     y = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return x.join(y, [key, "_salt"], how).drop("_salt")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statistics import rank_percentile
+from .ranges import in_chunks, running
+from .statistics import rank_percentile, rank_percentiles
 
 BASELINE, SIGMAS, RING = 50, 2.0, 1000
 #: The default alert rules (id, name, metric, operator, threshold, severity).
@@ -54,34 +55,32 @@ def evaluate_rules(samples: DataFrame, rules: DataFrame, time: str = "ts") -> Da
 
 
 def alert_intervals(fired: DataFrame, time: str = "ts", rule: str = "rule_id") -> DataFrame:
-    """rule, opened, resolved (null if open), samples: one alert while the condition stays true. Each rule's samples are one series, in order of time."""
-    w = Window.partitionBy(rule).orderBy(time)
-    marked = fired.withColumn("_start", (F.col("firing") & ~F.coalesce(F.lag("firing").over(w), F.lit(False))).cast("int"))
-    marked = marked.withColumn("_alert", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """rule, opened, resolved (null if open), samples: one alert while the condition stays true. Each rule's samples are one series, in order of time, cut into chunks; alerts are numbered over all of them."""
+    w = Window.partitionBy(rule, "_chunk").orderBy("_at")
+    starts = F.col("firing") & ~F.coalesce(F.lag("firing").over(w), F.lit(False))
+    marked = in_chunks(fired.select(rule, time, "firing"), [rule], [time], 1).withColumn("_start", starts.cast("int")).where("not _context")
+    marked = running(marked.select(rule, time, "firing", "_start", "_at"), ["_at"], {"_alert": F.col("_start")})
     out = marked.where("_alert > 0").groupBy(rule, "_alert").agg(F.min(time).alias("opened"), F.min(F.when(~F.col("firing"), F.col(time))).alias("resolved"), F.sum(F.col("firing").cast("bigint")).alias("samples"))
-    return out.drop("_alert")
+    return out.where("samples > 0").drop("_alert")
 
 
 def anomalies(df: DataFrame, metric: str, time: str, side: str = "high", by: list[str] | None = None, baseline: int = BASELINE, sigmas: float = SIGMAS, least: float | None = None) -> DataFrame:
-    """df with mean, sigma and anomaly: outside mean +- sigmas * sigma of the last samples, this one among them; only once there are enough samples. side: high, both; least: a floor the metric must exceed."""
-    w = Window.partitionBy(*(by or [])).orderBy(time)
-    back = w.rowsBetween(-(baseline - 1), Window.currentRow)
+    """df with mean, sigma and anomaly: outside mean +- sigmas * sigma of the last samples, this one among them; only once there are enough samples. side: high, both; least: a floor the metric must exceed. A series is cut into chunks that look back on the rows before them."""
+    back = Window.partitionBy(*(by or []), "_chunk").orderBy("_at").rowsBetween(-(baseline - 1), Window.currentRow)
     v = F.col(metric)
-    out = df.withColumn("mean", F.avg(v).over(back)).withColumn("sigma", F.stddev_pop(v).over(back)).withColumn("_n", F.count("*").over(back))
+    out = in_chunks(df, by or [], [time], baseline - 1).withColumn("mean", F.avg(v).over(back)).withColumn("sigma", F.stddev_pop(v).over(back)).withColumn("_n", F.count("*").over(back))
     hit = v > F.col("mean") + sigmas * F.col("sigma")
     if side == "both":
         hit = hit | (v < F.col("mean") - sigmas * F.col("sigma"))
     if least is not None:
         hit = hit & (v > least)
-    return out.withColumn("anomaly", hit & (F.col("_n") >= baseline)).drop("_n")
+    return out.withColumn("anomaly", hit & (F.col("_n") >= baseline)).where("not _context").drop("_n", "_at", "_chunk", "_context")
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
     """traces: trace_id, duration_ms, status. One row: total, error_rate, average, p95, p99, slowest."""
     base = traces.agg(F.count("*").alias("total"), (F.sum((F.col("status") == "error").cast("bigint")) * 100.0 / F.count("*")).alias("error_rate"), F.avg("duration_ms").alias("avg_ms"), F.max_by("trace_id", F.struct("duration_ms", "trace_id")).alias("slowest"))
-    for name, p in (("p95_ms", 0.95), ("p99_ms", 0.99)):
-        base = base.crossJoin(F.broadcast(rank_percentile(traces, "duration_ms", p).withColumnRenamed("value", name)))  # one row
-    return base
+    return base.crossJoin(F.broadcast(rank_percentiles(traces, "duration_ms", {"p95_ms": 0.95, "p99_ms": 0.99})))  # one row
 
 
 def find_traces(traces: DataFrame, trace_id: str | None = None, start=None, end=None, slower_than: float | None = None, status: str | None = None) -> DataFrame:

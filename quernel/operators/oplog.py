@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_chunks, positions, running
+
 
 def latest(log: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """The last row of each key, with the log's columns."""
@@ -65,25 +67,35 @@ def compact(runs: DataFrame, key: str, order: str, value: str, keep_tombstones:
 
 
 def run_lengths(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Runs of equal values in order: start, value, length (nulls are a run of their own). Runs are cut at partition borders of a range partitioning and joined where they meet."""
-    part = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(order)
+    """Runs of equal values in order: start, value, length (nulls are a run of their own). Chunks of the order look back on one row, and runs are numbered over all chunks."""
+    w = Window.partitionBy("_chunk").orderBy("_at")
     new = F.when(F.row_number().over(w) == 1, 1).otherwise((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
-    local = part.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = local.groupBy("_p", "_run").agg(F.min(order).alias("start"), F.any_value(value).alias("value"), F.count("*").alias("length"))
-    across = Window.orderBy("start")
-    joined = runs.withColumn("_new", F.when(F.row_number().over(across) == 1, 1).otherwise((~F.col("value").eqNullSafe(F.lag("value").over(across))).cast("int")))
-    joined = joined.withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return joined.groupBy("_run").agg(F.min("start").alias("start"), F.any_value("value").alias("value"), F.sum("length").alias("length")).drop("_run")
+    rows = in_chunks(df.select(order, value), [], [order], 1).withColumn("_new", new).where("not _context")
+    runs = running(rows.select(order, value, "_new", "_at"), ["_at"], {"_run": F.col("_new")})
+    return runs.groupBy("_run").agg(F.min(order).alias("start"), F.any_value(value).alias("value"), F.count("*").alias("length")).drop("_run")
+
+
+def run_values(runs: DataFrame) -> DataFrame:
+    """(place, value): what run lengths stand for; places from 0 in order of the runs' starts. A long run is written by many tasks: it is cut into pieces first."""
+    at = running(runs.select("start", "value", "length"), ["start"], {"_upto": F.col("length")}).withColumn("_first", F.col("_upto") - F.col("length"))
+    pieces = at.select("value", "_first", "_upto", F.explode(F.sequence(F.floor(F.col("_first") / 1024), F.floor((F.col("_upto") - 1) / 1024))).alias("_k"))
+    lo, hi = F.greatest("_first", F.col("_k") * 1024), F.least(F.col("_upto"), (F.col("_k") + 1) * 1024)
+    return pieces.select(F.explode(F.sequence(lo, hi - 1)).alias("place"), "value")
 
 
 def dictionary_codes(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """(dictionary of code and value by value order, df with a code column; null stays null)."""
+    """(dictionary of code and value by value order, df with a code column; null stays null). Distinct values are numbered by range."""
     words = df.select(F.col(value).alias("value")).where("value is not null").distinct()
-    ordered = words.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint"))
+    ordered = positions(words, ["value"], "code").withColumn("code", F.col("code") - 1)
     return ordered, df.join(ordered.withColumnRenamed("value", "_word"), F.col(value) == F.col("_word"), "left").drop("_word")
 
 
+def dictionary_values(coded: DataFrame, dictionary: DataFrame, code: str = "code") -> DataFrame:
+    """coded with the value that each code stands for."""
+    words = dictionary.select(F.col("code").alias("_code"), F.col("value").alias("decoded"))
+    return coded.join(words, F.col(code) == F.col("_code"), "left").drop("_code")
+
+
 def bit_width(df: DataFrame, value: str) -> DataFrame:
     """Bits that hold every value: what bit packing needs."""
     return df.agg(F.greatest(F.lit(1), F.ceil(F.log2(F.max(value) + 1))).cast("bigint").alias("bits"))

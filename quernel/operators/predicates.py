@@ -35,7 +35,7 @@ class Binder:
     def equal(self, name: str, value) -> Column:
         c, kind, spark_type = self.column(name)
         if value is None:
-            return F.lit(False)
+            return F.lit(None).cast("boolean")  # unknown, whatever stands around it
         if kind in ("JSON", "JSONB"):
             return semi.canonical_json(c) == F.lit(semi.canonical_json_literal(coerce(value, "JSON")))
         if kind == "GEOMETRY":
@@ -58,7 +58,7 @@ class Binder:
             c, kind, spark_type = self.column(p.column)
             low, high = coerce(p.low, kind), coerce(p.high, kind)
             if low is None or high is None:
-                return F.lit(False)
+                return F.lit(None).cast("boolean")
             low, high = (low, high) if low <= high else (high, low)
             return (c >= literal(low, kind, spark_type)) & (c <= literal(high, kind, spark_type))
         if isinstance(p, ast.IsNull):

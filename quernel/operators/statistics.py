@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semistructured import canonical_json
+from .ranges import group_starts, running, same
 
 BUCKETS = 10
 NO_RANGE = ("JSON", "JSONB", "GEOMETRY")
@@ -46,15 +47,8 @@ def column_stats(df: DataFrame, kinds: dict[str, str], name: str, exact: bool =
 def equi_depth(df: DataFrame, value: Column, buckets: int = BUCKETS) -> DataFrame:
     """bucket, lower, upper, count, cumulative: bucket b holds the sorted places from b * n // B up to (b + 1) * n // B. Places are counted by distinct value, so only those are ordered."""
     values = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    # ranks by sorted ranges: a range's rows before it are sums of a row a partition
-    ordered = values.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = ordered.withColumn("upto", F.sum("n").over(inside))
-    parts = ordered.groupBy("part").agg(F.sum("n").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = parts.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"), F.sum("size").over(whole).alias("total"))
-    ranked = ordered.join(F.broadcast(offsets), "part").withColumn("last", F.col("offset") + F.col("upto")).withColumn("first", F.col("last") - F.col("n"))
+    total = values.agg(F.sum("n").alias("total"))
+    ranked = running(values, ["v"], {"last": F.col("n")}).crossJoin(F.broadcast(total)).withColumn("first", F.col("last") - F.col("n"))  # total is one row
     b = F.least(F.lit(buckets), F.col("total"))
     of = lambda place: F.floor(((place + 1) * b - 1) / F.col("total"))
     spread = ranked.withColumn("bucket", F.explode(F.sequence(of(F.col("first")), of(F.col("last") - 1))))
@@ -96,11 +90,21 @@ def apply_updates(histogram: DataFrame, changes: DataFrame, kind: str = "equi_wi
 
 
 def rank_percentile(df: DataFrame, value: str, p: float, by: list[str] | None = None) -> DataFrame:
-    """The value at place floor(p * n) of the sorted values, without interpolation, for each group. Distinct values are ordered, not rows."""
+    """The value at place floor(p * n) of the sorted values, without interpolation, for each group."""
+    return rank_percentiles(df, value, {"value": p}, by)
+
+
+def rank_percentiles(df: DataFrame, value: str, wanted: dict[str, float], by: list[str] | None = None, rounded: bool = False) -> DataFrame:
+    """A row a group with a column for each wanted percentile: the value at place floor(p * n), or round((n - 1) * p) if rounded. Distinct values are ordered by range over all groups: no group is ever in one task."""
     keys = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    placed = counts.withColumn("_upto", F.sum("_n").over(up)).withColumn("_total", F.sum("_n").over(whole))
-    place = F.least(F.floor(F.lit(p) * F.col("_total")), F.col("_total") - 1)
-    return placed.where((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(*keys, F.col(value).alias("value"))
+    placed = running(counts, [*keys, value], {"_upto": F.col("_n")})
+    groups = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    if keys:
+        groups = group_starts(groups, keys)
+        placed = placed.join(groups, same(placed, groups, keys, [f"_g{i}" for i in range(len(keys))])).withColumn("_upto", F.col("_upto") - F.col("_start"))
+    else:
+        placed = placed.crossJoin(F.broadcast(groups))  # one row
+    at = lambda p: F.round((F.col("_total") - 1) * F.lit(p)) if rounded else F.least(F.floor(F.lit(p) * F.col("_total")), F.col("_total") - 1)
+    here = lambda p: F.when((F.col("_upto") > at(p)) & (F.col("_upto") - F.col("_n") <= at(p)), F.col(f"`{value}`"))
+    return placed.groupBy(*keys).agg(*[F.max(here(p)).alias(name) for name, p in wanted.items()])

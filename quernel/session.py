@@ -10,12 +10,12 @@ import json
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import ConflictError, EngineError, SchemaError
-from .operators import graph, joins, recursive, statistics
+from .operators import graph, joins, ranges, recursive, statistics
 from .operators.merge import merge
 from .operators.partitioning import LABEL, Scheme
 from .operators.predicates import Binder
@@ -27,7 +27,9 @@ from .sql import ast
 from .sql.parser import parse
 from .types import SPARK, coerce, kind_of, kind_of_spark
 
+#: The hidden column of a table's row order: the batch that brought the row, and its place there.
 SEQ = "__seq"
+SEQ_TYPE = "struct<batch: bigint, place: bigint>"
 STATS_TABLES = ("table_statistics", "column_statistics")
 
 
@@ -59,6 +61,20 @@ class View:
     pending_since: float | None = None
 
 
+@dataclass
+class CachedResult:
+    """A query's result: its plan at first, and written rows from the first hit on, which later hits read."""
+
+    df: DataFrame
+    reads: set[str]
+    written: bool = False
+
+    def again(self) -> DataFrame:
+        if not self.written:
+            self.df, self.written = stage(self.df, "result"), True
+        return self.df
+
+
 class Engine:
     def __init__(self, spark: SparkSession, async_delay: float = 0.05):
         self.spark, self.async_delay = spark, async_delay
@@ -68,7 +84,7 @@ class Engine:
         self.collections: dict[str, Collection] = {}
         self.stats: dict[str, tuple[int, float, list[dict], int]] = {}  # table: rows, analyzed at, columns, version
         self.histograms: dict[tuple[str, str], list[tuple[float, float, int]]] = {}
-        self.cache: dict[ast.Query, tuple[DataFrame, set[str]]] = {}
+        self.cache: dict[ast.Query, CachedResult] = {}
         self.hits = self.misses = 0
 
     # -- registry
@@ -107,11 +123,11 @@ class Engine:
         key = self._normal(q)
         if cacheable and key in self.cache:
             self.hits += 1
-            return self.cache[key][0]
+            return self.cache[key].again()
         out = self.select(q.select, self._materialize(q.ctes, q.recursive))
         if cacheable:
             self.misses += 1
-            self.cache[key] = (out, self._reads(q.select))
+            self.cache[key] = CachedResult(out, self._reads(q.select))
         return out
 
     def _normal(self, q: ast.Query) -> ast.Query:
@@ -149,7 +165,7 @@ class Engine:
         return any(t in self.tables and self.tables[t].external for t in self._reads(s))
 
     def cache_stats(self) -> dict:
-        return {"hits": self.hits, "misses": self.misses, "entries": len(self.cache)}
+        return {"hits": self.hits, "misses": self.misses, "entries": len(self.cache), "written": sum(c.written for c in self.cache.values())}
 
     def _covering(self, s: ast.Select) -> View | None:
         """A view whose definition is this query."""
@@ -169,18 +185,19 @@ class Engine:
             if t.scheme is not None and (labels := t.scheme.touched(s.predicate)) is not None:
                 df = df.where(F.col(LABEL).isin(*labels)) if labels else df.where("false")
             df = self._where(df, s.predicate, Binder(known), ctes)
-        out, names = [], []
+        out = []
         for item in s.items or [ast.ColumnItem(c) for c in t.columns]:
             if isinstance(item, ast.RowNumber):
-                by = [Binder(known).column(item.partition)[0]] if item.partition else []
-                tie = [F.col(SEQ)] if SEQ in df.columns else [F.col(f"`{c}`").asc_nulls_first() for c in t.columns if t.kinds[c] not in ("GEOMETRY",)]
-                w = Window.partitionBy(*by).orderBy(Binder(known).column(item.order)[0].asc_nulls_first(), *tie)
-                out.append(F.row_number().over(w).cast("bigint").alias(item.alias))
-                names.append(item.alias)
+                # places by range of the order, so that neither a whole table nor one hot group is numbered in a task
+                real = lambda name: known[name.lower()][0]
+                Binder(known).column(item.order)
+                by = [real(item.partition)] if item.partition and Binder(known).column(item.partition) else []
+                tie = [SEQ] if SEQ in df.columns else [c for c in t.columns if t.kinds[c] not in ("GEOMETRY",) and c != real(item.order)]
+                number = f"__number{len(out)}"
+                df = ranges.numbered(df, by, [real(item.order), *tie], number)
+                out.append(F.col(number).cast("bigint").alias(item.alias))
             else:
-                c, _, _ = Binder(known).column(item.name)
-                names.append(known[item.name.lower()][0])
-                out.append(c)
+                out.append(Binder(known).column(item.name)[0])
         if s.order:
             df = df.orderBy(*[(F.desc_nulls_last if down else F.asc_nulls_first)(known[c.lower()][0]) for c, down in s.order])
         df = df.select(*out, *([SEQ] if keep_order and SEQ in df.columns else []))
@@ -211,9 +228,18 @@ class Engine:
             def step(rows, c=c):
                 return self.select(c.step, known | {c.name.lower(): self._of_frame(c.name, rows)})
 
-            known[c.name.lower()] = self._of_frame(c.name, recursive.fixpoint(anchor, step))
+            known[c.name.lower()] = self._of_frame(c.name, recursive.fixpoint(anchor, step, self._reads_times(c.step, c.name) == 1))
         return known
 
+    @staticmethod
+    def _reads_times(s: ast.Select, name: str) -> int:
+        def times(p) -> int:
+            if isinstance(p, ast.InColumn):
+                return p.table.lower() == name.lower()
+            return sum(map(times, p.parts)) if isinstance(p, ast.Logic) else 0
+
+        return (s.table.lower() == name.lower()) + times(s.predicate)
+
     def _createtable(self, s: ast.CreateTable) -> None:
         key = s.name.lower()
         if key in self.tables or key in self.views or key in STATS_TABLES:
@@ -232,7 +258,7 @@ class Engine:
 
     def _schema(self, kinds: dict[str, str], scheme: Scheme | None = None) -> T.StructType:
         cols = ", ".join(f"`{c}` {SPARK[k]}" for c, k in kinds.items())
-        return T._parse_datatype_string(f"{cols}, {SEQ} bigint" + (f", {LABEL} string" if scheme else ""))
+        return T._parse_datatype_string(f"{cols}, {SEQ} {SEQ_TYPE}" + (f", {LABEL} string" if scheme else ""))
 
     def _writable(self, name: str) -> Table:
         t = self.tables.get(name.lower())
@@ -250,9 +276,9 @@ class Engine:
             if len(values) != len(names):
                 raise SchemaError(f"{len(names)} columns, {len(values)} values")
             row = dict(zip(names, values, strict=True))
-            rows.append(tuple(coerce(row.get(c), kind) for c, kind in t.kinds.items()) + (t.rows_in + k,))
+            rows.append(tuple(coerce(row.get(c), kind) for c, kind in t.kinds.items()) + ((t.rows_in, k),))
         self._append(t, self.spark.createDataFrame(rows, self._schema(t.kinds)))
-        t.rows_in += len(rows)
+        t.rows_in += 1
 
     @staticmethod
     def _unknown(name: str):
@@ -263,7 +289,7 @@ class Engine:
         t = self._writable(name)
         cols = {c.lower(): c for c in df.columns}
         picked = [(F.col(f"`{cols[c.lower()]}`") if c.lower() in cols else F.lit(None)).cast(SPARK[k]).alias(c) for c, k in t.kinds.items()]
-        self._append(t, df.select(*picked, (F.monotonically_increasing_id() + (t.rows_in << 34)).alias(SEQ)))
+        self._append(t, df.select(*picked, F.struct(F.lit(t.rows_in).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("place")).alias(SEQ)))
         t.rows_in += 1
 
     def _append(self, t: Table, df: DataFrame) -> None:
@@ -284,11 +310,13 @@ class Engine:
         value = lambda v, kind: lambda src, tgt=None: src(find(source.columns, v.value)) if v.side == "source" else tgt(find(t.columns, v.value)) if v.side == "target" else F.lit(coerce(v.value, kind))
         sets = {find(t.columns, c): value(v, t.kinds[find(t.columns, c)]) for c, v in s.sets} if s.sets else None
         inserts = {find(t.columns, c): value(v, t.kinds[find(t.columns, c)]) for c, v in zip(s.insert_columns, s.insert_values, strict=True)} if s.insert_columns else None
-        src = source.df if SEQ in source.df.columns else source.df.withColumn(SEQ, F.monotonically_increasing_id())
-        src = stage(src, "merge-source")
-        base = t.rows_in << 34
+        if SEQ in source.df.columns:
+            src = ranges.positions(source.df, [SEQ], "__place").drop(SEQ).withColumnRenamed("__place", SEQ)
+        else:
+            src = stage(source.df.withColumn(SEQ, F.monotonically_increasing_id()), "merge-source")
+        batch = F.lit(t.rows_in).cast("bigint").alias("batch")
         if inserts is not None:
-            inserts[SEQ] = lambda src_: src_(SEQ) + base
+            inserts[SEQ] = lambda src_: F.struct(batch, src_(SEQ).alias("place"))
         old = t.df.select(*t.columns, SEQ)
         out = merge(old, src, find(t.columns, s.target_key), find(source.columns, s.source_key), sets, inserts, SEQ, [SEQ], bool(s.sets and any(v.side == "target" for _, v in s.sets)))
         t.path, previous = new_path(self.spark, f"table-{t.name}"), t.path
@@ -336,7 +364,7 @@ class Engine:
         return len(due)
 
     def _forget(self, name: str) -> None:
-        self.cache = {k: v for k, v in self.cache.items() if name.lower() not in v[1]}
+        self.cache = {k: v for k, v in self.cache.items() if name.lower() not in v.reads}
 
     def _changed(self, name: str) -> None:
         """Drops cached results, then refreshes or schedules what reads the table, views on views too."""
