@@ -24,13 +24,13 @@ gives no piece.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +40,8 @@ from .common import stage
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Texts encoded at a time, in code points.
-BATCH_CHARS = 1 << 21
-#: How byte-level vocabularies write a space.
-SPACE = "\u0120"
-ODD_SPACE = re.compile(r"[^\S \n\r\t]")
+#: Fixed value: how byte-level vocabularies cut a text before merging.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -114,86 +111,66 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 class Encoder:
-    """Encodes texts with one of the public tokenizers, each different unit once.
-
-    A unit is a space and what follows it up to the next. The byte-level
-    pre-tokenizer always cuts before a space that stands between a word and the
-    next, so the ids of a text are those of its units, one after another; texts
-    in which a space has white space on both sides or ends the text, or with
-    rarer white space, are encoded whole. The ids of units lie in one array from
-    which texts are gathered; they stay between batches, up to ``MAX_UNITS``.
-    """
+    """Encodes texts with one of the public tokenizers' files, as ``tokenizers`` does without special tokens added.
 
-    MAX_UNITS = 1 << 20
+    A byte-level BPE vocabulary whose ids are its merges' ranks is encoded by a plain byte-pair encoder, which gives
+    the same ids and no offsets or strings beside them. Texts that hold an added token's string, texts that its
+    pre-tokenizing pattern gives up on (very long white space), and other vocabularies go to ``tokenizers`` itself.
+    """
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(tokenizer)
-        self.tok.encode_special_tokens = True
-        self.spaced = np.array([(self.tok.id_to_token(i) or "")[:1] == SPACE for i in range(self.tok.get_vocab_size())])
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.first, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text encoded whole."""
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: list[str]) -> None:
-        """Units are encoded in one text with a space before each; a token that starts with a space starts the next."""
-        for i in range(0, len(units), 256):
-            some = units[i : i + 256]
-            (ids,) = self.ids([" " + " ".join(some)])
-            at = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
-            k = len(self.known)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while k + len(some) > len(self.n):
-                self.first, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.n))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.first[k : k + len(some)], self.n[k : k + len(some)] = self.used + at[:-1], np.diff(at)
-            self.known.update(zip(some, range(k, k + len(some)), strict=True))
-            self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if len(self.known) > self.MAX_UNITS:
-            self.clear()
-        out: list = [None] * len(texts)
-        by_unit = [i for i, t in enumerate(texts) if not (t[-1:] == " " or "  " in t or " \n" in t or " \t" in t or " \r" in t)]
-        units = pc.split_pattern(pa.array([texts[i] for i in by_unit], pa.large_string()), " ")
-        flat = units.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        odd = np.array([bool(ODD_SPACE.search(u)) for u in names], bool)
-        self._learn([u for u, x in zip(names, odd, strict=True) if not x and u not in self.known])
-        place = np.array([self.known.get(u, 0) for u in names], np.int64)
-        index, edges = flat.indices.to_numpy(), units.offsets.to_numpy()
-        if len(by_unit):
-            at = place[index]
-            first, n = self.first[at], self.n[at]
-            starts = edges[:-1]
-            n[starts] = 0  # a text's first unit has no space before it
-            ends = np.cumsum(n)
-            gathered = self.pool[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
-            bounds = np.append(ends[starts], ends[-1])
-            heads = self.ids([t.split(" ", 1)[0] for t in (texts[i] for i in by_unit)])
-            strange = np.logical_or.reduceat(odd[index], starts)
-            for k, i in enumerate(by_unit):
-                if not strange[k]:
-                    out[i] = np.concatenate([heads[k], gathered[bounds[k] : bounds[k + 1]]])
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return out
+        self.path, self.whole = tokenizer, None
+        with open(tokenizer, encoding="utf-8") as f:
+            told = json.load(f)
+        added = [x["content"] for x in told.get("added_tokens") or ()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.fast = _byte_pairs(told)
+
+    def slowly(self, text: str) -> np.ndarray:
+        """By ``tokenizers``."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        if self.fast is None or (self.added is not None and self.added.search(text)):
+            return self.slowly(text)
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return self.slowly(text)
+
+
+def _byte_pairs(told: dict):
+    """A byte-pair encoder for a tokenizer's file, or None if it isn't a plain byte-level one."""
+    import tiktoken
+
+    model, cut = told["model"], told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not plain or told.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    added = {x["content"] for x in told.get("added_tokens") or ()}
+    bytes_of = {c: b for b, c in enumerate(_byte_letters())}
+    ranks = {bytes(bytes_of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [model["vocab"][t] for t in merged]
+    if order != sorted(order) or len(ranks) != len(merged) + 256:
+        return None
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next free one from 256 on."""
+    free = iter(range(256, 512))
+    return [chr(b if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else next(free)) for b in range(256)]
 
 
 @cache
 def encoder(tokenizer: str) -> Encoder:
-    """One for each Python worker."""
+    """One for each Python worker; it keeps nothing of the texts."""
     return Encoder(tokenizer)
 
 
@@ -205,32 +182,20 @@ def _encode(tokenizer: str, capacity: int, end: int):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches):
-        part, nth = TaskContext.get().partitionId(), [0] * (capacity + 1)
-
-        def pieces(docs, texts):
+        part, nth, encode = TaskContext.get().partitionId(), [0] * (capacity + 1), encoder(tokenizer).encode
+        tail = np.array([end], "<u4")
+        for batch in batches:
             rows = []
-            for doc, ids in zip(docs, encoder(tokenizer).encode(texts), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
-                total = len(ids)
-                at = 0
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, ids = doc.as_py(), np.concatenate([encode(text.as_py() or ""), tail])
+                total, at = len(ids), 0
                 for k, stop in enumerate(range(total % capacity or capacity, total + 1, capacity)):
                     n = stop - at
-                    rows.append((doc, k, at, n, zlib.crc32(ids[at:stop].tobytes()), part, nth[n]))
+                    rows.append((doc, k, at, n, zlib.crc32(ids[at:stop]), part, nth[n]))
                     nth[n] += 1
                     at = stop
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        for batch in batches:
-            docs, texts, chars = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs.append(doc)
-                texts.append(text or "")
-                chars += len(texts[-1])
-                if chars >= BATCH_CHARS:
-                    yield pieces(docs, texts)
-                    docs, texts, chars = [], [], 0
-            if texts:
-                yield pieces(docs, texts)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 

@@ -309,12 +309,19 @@ def test_packing_plan(seed):
     assert len(bins) <= least * 1.25 + 2
 
 
-def test_unit_encoding_is_whole_encoding():
+def test_encoding_is_that_of_the_library():
+    from tokenizers import Tokenizer
+
     r = random.Random(1)
-    alphabet = " \n\t\r  ab.,'sé1 \x1c\x85　中😀<|endoftext|>"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> a", "don't  stop", " x", "x ", ""]
-    e = packing.Encoder(packing.tokenizer_path())
-    assert all(a.tolist() == b.tolist() for a, b in zip(e.encode(texts), e.ids(texts), strict=True))
+    alphabet = [*" \n\t\r  ab.,'sé1 \x1c\x85　中😀", "<|endoftext|>", "<|end"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["hello <|endoftext|> world", "<|endoftext|>", "don't  stop", " x", "x ", "", " " * 200000, "ab" * 50000, "\x00\ud83d".encode("utf-8", "replace").decode()]
+    texts += ["".join(chr(r.choice([r.randrange(0x250), r.randrange(0x3000), r.randrange(0xE000, 0x20000)])) for _ in range(40)).encode("utf-8", "replace").decode() for _ in range(500)]
+    tok, e = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    assert e.fast is not None
+    assert all(e.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in texts)
+    assert e.encode("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+    other = packing.Encoder(packing.tokenizer_path("word_bpe_49k.json"))
+    assert other.fast is None and len(other.encode("some words")) == 2
 
 
 def test_lm_scores(docs, rows, none):
