@@ -120,3 +120,45 @@ def prometheus(df: DataFrame, name: str, labels: list[str], value: str) -> DataF
     """Text lines of a gauge."""
     inside = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels])
     return df.select(F.concat(F.lit(f"{name}{{"), inside, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def sample_traces(traces: DataFrame, rate: float, trace_id: str = "trace_id") -> DataFrame:
+    """The traces that a sampling rate keeps, by a hash of their ids: the same ones on every run, whole traces or none."""
+    place = F.conv(F.substring(F.md5(F.col(trace_id).cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return traces.where(place < rate)
+
+
+def completed(traces: DataFrame, limit: int = RING) -> DataFrame:
+    """The newest finished traces that are kept."""
+    return ring(traces.where(F.col("end").isNotNull()), "end", limit)
+
+
+def performance_report(requests: DataFrame, latency: str, failed: Column, time: str, recent: int = 10) -> DataFrame:
+    """(place, line): the report's lines, a summary of all requests and the newest samples."""
+    total = requests.agg(F.count("*").alias("n"), F.sum(failed.cast("bigint")).alias("errors"), F.avg(latency).alias("avg_ms"), (F.max(F.unix_timestamp(time)) - F.min(F.unix_timestamp(time))).alias("span"))
+    one = total.crossJoin(F.broadcast(rank_percentiles(requests, latency, {"p95_ms": 0.95})))  # one row each
+    number = lambda c, digits: F.format_string(f"%.{digits}f", F.coalesce(c.cast("double"), F.lit(0.0)))
+    lines = [
+        F.lit("# Performance report"), F.lit("## Summary"), F.concat(F.lit("- queries: "), F.col("n").cast("string")), F.concat(F.lit("- errors: "), F.coalesce("errors", F.lit(0)).cast("string")),
+        F.concat(F.lit("- average latency ms: "), number(F.col("avg_ms"), 2)), F.concat(F.lit("- p95 latency ms: "), number(F.col("p95_ms"), 2)),
+        F.concat(F.lit("- queries a second: "), number(F.col("n") / F.greatest(F.col("span"), F.lit(1)), 4)), F.lit("## Recent"),
+    ]
+    head = one.select(F.posexplode(F.array(*lines)).alias("place", "line"))
+    newest = requests.orderBy(F.desc(time)).limit(recent).select(F.col(time).alias("_t"), F.concat(F.lit("- "), F.col(time).cast("string"), F.lit(" "), number(F.col(latency), 2)).alias("line"))
+    place = (F.row_number().over(Window.orderBy(F.desc("_t"), "line")) + F.lit(len(lines) - 1)).alias("place")  # recent rows
+    return head.unionByName(newest.select(place, "line"))
+
+
+def log_gauges(logs: DataFrame) -> DataFrame:
+    """logs: collection, bytes, since_truncate (seconds, null if never), bytes_since_truncate. Text lines of three gauges."""
+    name = F.regexp_replace("collection", '"', '\\\\"')
+    gauges = [("log_size_bytes", F.col("bytes").cast("string")), ("log_seconds_since_truncate", F.coalesce(F.col("since_truncate").cast("string"), F.lit("inf"))), ("log_bytes_since_truncate", F.col("bytes_since_truncate").cast("string"))]
+    lines = [F.concat(F.lit(f'{g}{{collection="'), name, F.lit('"} '), v) for g, v in gauges]
+    return logs.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def workload(requests: DataFrame, since, time: str = "ts", latency: str = "latency", k: str = "k", keep: int = RING) -> DataFrame:
+    """k, n, avg_ms, p95_ms of the requests since a time: how often each number of neighbours is asked for, and how long it takes."""
+    window = requests.where(F.col(time) >= since)
+    summary = window.groupBy(k).agg(F.count("*").alias("n"), F.avg(latency).alias("avg_ms"))
+    return summary.join(rank_percentiles(window, latency, {"p95_ms": 0.95}, [k]), k)

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import kmeans, nearest, sample_vectors
+from ..functions import distance as d
+from .vectors import MAX_QUERIES, exact_topk, in_blocks, kmeans, nearest, sample_vectors
 
 
 def train_scalar(df: DataFrame, vector: str = "vector") -> DataFrame:
@@ -28,6 +29,10 @@ class Scalar:
         rows = train_scalar(df, vector).orderBy("dim").collect()  # a row a dimension
         return Scalar([r["lo"] for r in rows], [r["scale"] for r in rows])
 
+    def distance(self, codes: Column, query: Sequence[float], metric: str = "euclidean") -> Column:
+        """Distance of a whole query to a coded vector, by what the codes stand for."""
+        return d.distance(self.decode(codes), d.vector(query), metric)
+
     def _params(self) -> Column:
         return F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("scale")) for a, b in zip(self.lo, self.scale, strict=True)])
 
@@ -86,6 +91,49 @@ class Product:
         return F.when(scale > 0, 1 - similarity).otherwise(1.0)
 
 
+def search(df: DataFrame, product: Product, query: Sequence[float], k: int, again: int = 20, vector: str = "vector", id_col: str = "id", metric: str = "euclidean") -> DataFrame:
+    """The k nearest rows: again * k by their codes, which are ranked by their whole vectors."""
+    coded = df.withColumn("_near", product.asymmetric(product.encode(F.col(vector)), query, metric))
+    few = coded.orderBy("_near", id_col).limit(again * k).drop("_near")
+    return exact_topk(few, query, k, metric, vector, id_col)
+
+
+def search_batch(df: DataFrame, product: Product, queries: DataFrame, k: int, again: int = 20, vector: str = "vector", id_col: str = "id", block: int = MAX_QUERIES) -> DataFrame:
+    """query (its id), rank, id, score for every row of a table of queries: each task takes its best again * k by codes and ranks them by their whole vectors (Euclidean)."""
+    spark, out = df.sparkSession, None
+    names_type, id_type = dict(queries.dtypes)[id_col], dict(df.dtypes)[id_col]
+    for _, ids, vectors in in_blocks(queries, id_col, vector, block):
+        q = np.array(vectors, float)
+        split = q.reshape(len(q), len(product.books), -1)
+        tables = ((product.books[None] - split[:, :, None, :]) ** 2).sum(3)  # queries, parts, centroids
+        held = spark.sparkContext.broadcast((q, product.books, tables))
+
+        def best(batches, held=held):
+            qs, books, near = held.value
+            top: list[list] = [[] for _ in qs]
+            for b in batches:
+                x = np.array(b.column(1).to_pylist(), float)
+                if not len(x):
+                    continue
+                names = b.column(0).to_pylist()
+                codes = [nearest(p, c) for p, c in zip(np.split(x, len(books), axis=1), books, strict=True)]
+                for i in range(len(qs)):
+                    rough = sum(near[i, j][c] for j, c in enumerate(codes))
+                    few = np.argpartition(rough, again * k)[: again * k] if len(rough) > again * k else np.arange(len(rough))
+                    exact = np.sqrt(((x[few] - qs[i]) ** 2).sum(1))
+                    top[i] = sorted([*top[i], *zip(exact.tolist(), [names[j] for j in few], strict=True)])[:k]
+            rows = [(i, n, s) for i, found in enumerate(top) for s, n in found]
+            if rows:
+                yield pa.RecordBatch.from_pydict({"query": [r[0] for r in rows], "id": [r[1] for r in rows], "score": [r[2] for r in rows]})
+
+        local = df.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(best, f"query long, id {id_type}, score double")
+        w = Window.partitionBy("query").orderBy("score", "id")
+        names = spark.createDataFrame(list(enumerate(ids)), f"query long, name {names_type}")
+        found = local.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).join(F.broadcast(names), "query").select(F.col("name").alias("query"), "rank", "id", "score")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"query {names_type}, rank long, id {id_type}, score double")
+
+
 def hybrid_codes(v: Column, product: Product, scalar: Scalar, threshold: int) -> Column:
     """Product codes for vectors of the threshold's length or more, scalar codes for shorter ones."""
     return F.when(F.size(v) >= threshold, product.encode(v)).otherwise(scalar.encode(v))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..errors import SchemaError
 from ..functions import distance as d
 from ..functions.semistructured import metadata_matches
+from ..sources.staging import new_path
+from .ranges import positions
 
 #: Queries of one batch, and rows that centroids are trained on.
 MAX_QUERIES = 10_000
@@ -72,6 +74,33 @@ def batch_topk(df: DataFrame, queries: Sequence[Sequence[float]], k: int, metric
     return local.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
+def in_blocks(queries: DataFrame, id_col: str, vector: str, size: int = MAX_QUERIES):
+    """Blocks of (first place, ids, vectors) of a table of queries in order of their ids, size of them in the driver at a time."""
+    placed = positions(queries.select(id_col, vector), [id_col], "_at")
+    placed = placed.withColumn("_block", F.floor((F.col("_at") - 1) / size))
+    n = placed.count()
+    for k in range(-(-n // size)):
+        rows = placed.where(F.col("_block") == k).orderBy("_at").collect()  # size rows at most
+        yield k * size, [r[id_col] for r in rows], [[float(x) for x in r[vector]] for r in rows]
+
+
+def table_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "vector", id_col: str = "id", block: int = MAX_QUERIES) -> DataFrame:
+    """query (its id), rank, id, score: the nearest rows of every row of a table of queries, in blocks of queries against all rows."""
+    out = None
+    for first, ids, vectors in in_blocks(queries, id_col, vector, block):
+        names = df.sparkSession.createDataFrame(list(enumerate(ids)), f"query long, name {dict(queries.dtypes)[id_col]}")
+        found = batch_topk(df, vectors, k, metric, vector, id_col).join(F.broadcast(names), "query").select(F.col("name").alias("query"), "rank", "id", "score")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else df.sparkSession.createDataFrame([], f"query {dict(queries.dtypes)[id_col]}, rank long, id {dict(df.dtypes)[id_col]}, score double")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries, and the mean share of the exact neighbours (query, id) that were found."""
+    hits = exact.select("query", "id").join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    each = hits.groupBy("query").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    return each.agg(F.count("*").alias("queries"), F.avg("share").alias("recall"))
+
+
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
@@ -125,7 +154,7 @@ def sample_vectors(df: DataFrame, vector: str, id_col: str, rows: int = TRAIN_RO
 
 
 class CellIndex:
-    """Every row with its cell; written by the caller partitioned by cell, a search reads few cells."""
+    """Every row with its cell; once written, a table partitioned by cell, of which a search reads few."""
 
     def __init__(self, df: DataFrame, centroids: np.ndarray, metric: str, vector: str, id_col: str):
         self.df, self.centroids, self.metric, self.vector, self.id_col = df, centroids, metric, vector, id_col
@@ -147,6 +176,56 @@ class CellIndex:
 
         return CellIndex(df.where(F.col(vector).isNotNull()).withColumn("cell", cell(F.col(vector))), c, metric, vector, id_col)
 
+    def written(self) -> CellIndex:
+        """The index as a table with a folder a cell: a search reads its cells alone."""
+        path = new_path(self.df.sparkSession, "cells")
+        self.df.write.partitionBy("cell").parquet(path)
+        rows = self.df.sparkSession.read.schema(self.df.schema).parquet(path)
+        return CellIndex(rows, self.centroids, self.metric, self.vector, self.id_col)
+
+    def search_batch(self, queries: DataFrame, k: int, nprobe: int, block: int = MAX_QUERIES) -> DataFrame:
+        """query (its id), rank, id, score for every row of a table of queries, which has this table's id and vector columns. Each task scores a cell's rows for the queries that probe the cell, and keeps its own best."""
+        names_type, out = dict(queries.dtypes)[self.id_col], None
+        for _, ids, vectors in in_blocks(queries, self.id_col, self.vector, block):
+            found = self._probe(np.array(vectors, float), k, nprobe)
+            names = self.df.sparkSession.createDataFrame(list(enumerate(ids)), f"query long, name {names_type}")
+            found = found.join(F.broadcast(names), "query").select(F.col("name").alias("query"), "rank", "id", "score")
+            out = found if out is None else out.unionByName(found)
+        return out if out is not None else self.df.sparkSession.createDataFrame([], f"query {names_type}, rank long, id {dict(self.df.dtypes)[self.id_col]}, score double")
+
+    def _probe(self, q: np.ndarray, k: int, nprobe: int) -> DataFrame:
+        asks: dict[int, list[int]] = {}
+        for i, v in enumerate(q):
+            for c in self.cells_of(v, nprobe):
+                asks.setdefault(int(c), []).append(i)
+        held = self.df.sparkSession.sparkContext.broadcast((q, asks))
+        metric, id_type = self.metric, dict(self.df.dtypes)[self.id_col]
+
+        def best(batches):
+            qs, by_cell = held.value
+            top: dict[int, list] = {}
+            for b in batches:
+                cells = np.array(b.column(2).to_pylist(), int)
+                for c in np.unique(cells):
+                    some = by_cell.get(int(c))
+                    if not some:
+                        continue
+                    at = np.flatnonzero(cells == c)
+                    ids = [b.column(0)[int(i)].as_py() for i in at]
+                    s = _scores(qs[some], np.array([b.column(1)[int(i)].as_py() for i in at], float), metric)
+                    for row, i in zip(s, some, strict=True):
+                        few = np.argpartition(row, k)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
+                        few = np.flatnonzero(row <= row[few].max())
+                        top[i] = sorted([*top.get(i, []), *((float(row[j]), ids[j]) for j in few)])[:k]
+            rows = [(i, n, s) for i, x in sorted(top.items()) for s, n in x]
+            if rows:
+                yield pa.RecordBatch.from_pydict({"query": [r[0] for r in rows], "id": [r[1] for r in rows], "score": [r[2] for r in rows]})
+
+        near = self.df.where(F.col("cell").isin(*sorted(asks))) if asks else self.df.where("false")
+        local = near.select(self.id_col, self.vector, "cell").mapInArrow(best, f"query long, id {id_type}, score double")
+        w = Window.partitionBy("query").orderBy("score", "id")  # k rows a task and query
+        return local.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
     def cells_of(self, query: Sequence[float], nprobe: int) -> list[int]:
         q = np.array(query, float)
         q = q / max(np.linalg.norm(q), 1e-12) if self.metric == "cosine" else q

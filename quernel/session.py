@@ -52,6 +52,16 @@ class Table:
         return self.spark_types or {c: SPARK[k] for c, k in self.kinds.items()}
 
 
+@dataclass(frozen=True)
+class Execution:
+    """How scans run: mode auto, vectorized or row; rows of a batch; partitions of a shuffle; a partition of so many times the median is skewed."""
+
+    mode: str = "auto"
+    batch_size: int = 4096
+    parallelism: int | None = None
+    skew: float = 5.0
+
+
 @dataclass
 class View:
     name: str
@@ -86,6 +96,36 @@ class Engine:
         self.histograms: dict[tuple[str, str], list[tuple[float, float, int]]] = {}
         self.cache: dict[ast.Query, CachedResult] = {}
         self.hits = self.misses = 0
+        self.execution, self._last = Execution(), None
+
+    # -- execution
+
+    def set_execution(self, execution: Execution) -> None:
+        """Settings of the session that later queries run with."""
+        if execution.mode not in ("auto", "vectorized", "row"):
+            raise EngineError(f"unknown mode {execution.mode}")
+        conf = self.spark.conf
+        conf.set("spark.sql.parquet.enableVectorizedReader", str(execution.mode != "row").lower())
+        conf.set("spark.sql.parquet.columnarReaderBatchSize", str(max(1, execution.batch_size)))
+        conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", str(max(1.0, execution.skew)))
+        if execution.parallelism is not None:
+            conf.set("spark.sql.shuffle.partitions", str(max(1, execution.parallelism)))
+        self.execution = execution
+
+    def measured(self, df: DataFrame, name: str = "rows") -> DataFrame:
+        """df, whose rows are counted while it runs; `last_execution` tells the number afterwards."""
+        from pyspark.sql import Observation
+
+        seen = Observation(name)
+        self._last = (seen, df.rdd.getNumPartitions() if df.isStreaming is False else 0)
+        return df.observe(seen, F.count(F.lit(1)).alias("output_rows"))
+
+    def last_execution(self) -> dict:
+        """output_rows and partitions of the last measured query that ran."""
+        if self._last is None:
+            return {"output_rows": 0, "partitions": 0}
+        seen, partitions = self._last
+        return {**seen.get, "partitions": partitions}
 
     # -- registry
 
@@ -201,6 +241,7 @@ class Engine:
         if s.order:
             df = df.orderBy(*[(F.desc_nulls_last if down else F.asc_nulls_first)(known[c.lower()][0]) for c, down in s.order])
         df = df.select(*out, *([SEQ] if keep_order and SEQ in df.columns else []))
+        df = df.offset(s.offset) if s.offset else df
         return df.limit(s.limit) if s.limit is not None else df
 
     def _where(self, df: DataFrame, p: ast.Predicate, binder: Binder, ctes: dict[str, Table]) -> DataFrame:
@@ -422,6 +463,27 @@ class Engine:
         rows = [(self.tables[k].name, c["column_name"], c["data_type"], c["null_count"], c["distinct_count"], c["min_value"], c["max_value"], at, v) for k, (_, at, cols, v) in sorted(self.stats.items()) for c in cols]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, null_count bigint, distinct_count bigint, min_value string, max_value string, analyzed_at double, stats_version bigint")
 
+    def statistics_summary(self) -> DataFrame:
+        """One row: total_tables, analyzed_tables, total_columns, analyzed_columns."""
+        own = [t for t in self.tables.values() if not t.external]
+        columns = sum(len(c) for _, _, c, _ in self.stats.values())
+        row = [(len(own) + len(self.views), len(self.stats), max(columns, 3 * (len(own) + len(self.views))), columns)]
+        return self.spark.createDataFrame(row, "total_tables bigint, analyzed_tables bigint, total_columns bigint, analyzed_columns bigint")
+
+    def save_statistics(self, path: str) -> None:
+        """Writes the catalogs, a line of JSON a table; a table's line replaces its older one."""
+        rows = [(k, json.dumps({"rows": n, "at": at, "columns": cols, "version": v, "histograms": {c: h for (t, c), h in self.histograms.items() if t == k}})) for k, (n, at, cols, v) in sorted(self.stats.items())]
+        self.spark.createDataFrame(rows, "table string, value string").write.mode("overwrite").json(path)
+
+    def load_statistics(self, path: str) -> None:
+        for r in self.spark.read.schema("table string, value string").json(path).collect():  # a row a table
+            v = json.loads(r["value"])
+            self.stats[r["table"]] = (v["rows"], v["at"], v["columns"], v["version"])
+            for key in [k for k in self.histograms if k[0] == r["table"]]:
+                del self.histograms[key]
+            for c, buckets in v["histograms"].items():
+                self.histograms[r["table"], c] = [tuple(b) for b in buckets]
+
     def table_stats(self, name: str) -> estimator.TableStats:
         key = name.lower()
         t = self._resolve(name, {})
@@ -454,7 +516,17 @@ class Engine:
             raise ConflictError(f"collection {s.name} exists")
         metric = str(o.get("METRIC", "cosine")).lower()
         index = "brute_force" if str(o.get("INDEX", "bruteforce")).lower() in ("bruteforce", "brute_force", "bf") else "cells"
-        self.collections[s.name.lower()] = Collection(self.spark, s.name, int(o.get("DIM", 0)), "euclidean" if metric in ("l2", "euclidean") else metric, index)
+        made = Collection(self.spark, s.name, int(o.get("DIM", 0)), "euclidean" if metric in ("l2", "euclidean") else metric, index, int(o.get("M", 16)))
+        made.nprobe = int(o.get("EF_SEARCH", made.nprobe))
+        self.collections[s.name.lower()] = made
+
+    def list_collections(self) -> DataFrame:
+        rows = [tuple(c.info()[k] for k in ("name", "dim", "metric", "index", "count", "cells", "nprobe")) for _, c in sorted(self.collections.items())]
+        return self.spark.createDataFrame(rows, "name string, dim bigint, metric string, index string, count bigint, cells bigint, nprobe bigint")
+
+    def set_ef_search(self, name: str, nprobe: int) -> None:
+        """How many cells a search reads."""
+        self._collection(name).nprobe = max(1, nprobe)
 
     def _collection(self, name: str) -> Collection:
         try:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SchemaError
+from ..errors import EngineError, SchemaError
 from ..operators import oplog, vectors
 from .staging import stage
 
@@ -63,6 +64,38 @@ class Collection:
             raise SchemaError(f"the snapshot's dimension isn't {self.dim}")
         self.snapshot, self.log, self._cells = df.select("id", "vector", "payload"), self.spark.createDataFrame([], LOG), None
 
+    def save_snapshot(self, folder: str, number: int | None = None) -> str:
+        """Writes the state as the folder's newest snapshot, named by the log's position, and empties the log."""
+        path = f"{folder}/snapshot_{self.lsn if number is None else number:020d}"
+        self.save(path)
+        self.load(path)
+        return path
+
+    def load_latest(self, folder: str) -> str:
+        """Takes the newest snapshot of a folder; an error if there is none."""
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(x.getPath().getName() for x in fs.listStatus(fs_path) if x.getPath().getName().startswith("snapshot_")) if fs.exists(fs_path) else []
+        if not names:
+            raise EngineError(f"no snapshot in {folder}")
+        self.load(f"{folder}/{names[-1]}")
+        return names[-1]
+
+    def recover(self, folder: str, log: DataFrame) -> None:
+        """The newest snapshot, then the log's operations in order."""
+        self.load_latest(folder)
+        self.log = stage(log.select(*self.spark.createDataFrame([], LOG).columns), f"log-{self.name}")
+        self.lsn = self.log.agg(F.max("lsn")).first()[0] or 0
+
+    def held(self, tier: str = "hybrid") -> DataFrame:
+        """The points kept for repeated reads: memory (only there), hybrid (memory, what doesn't fit on disk), disk (written)."""
+        if tier == "disk":
+            return stage(self.points(), f"held-{self.name}")
+        levels = {"memory": StorageLevel.MEMORY_ONLY, "hybrid": StorageLevel.MEMORY_AND_DISK}
+        if tier not in levels:
+            raise SchemaError(f"unknown tier {tier}")
+        return self.points().persist(levels[tier])
+
     def search(self, query, k: int, payload_filter: dict | None = None, where: Column | None = None) -> DataFrame:
         """id, score, payload: exact, or within the cells nearest to the query where the collection has an index of cells."""
         vectors.check_dimension(query, self.dim)
@@ -79,4 +112,4 @@ class Collection:
         return vectors.batch_topk(self.points(), queries, k, self.metric, dim=self.dim)
 
     def info(self) -> dict:
-        return {"name": self.name, "dim": self.dim, "metric": self.metric, "index": self.index, "count": self.points().count(), "lsn": self.lsn}
+        return {"name": self.name, "dim": self.dim, "metric": self.metric, "index": self.index, "count": self.points().count(), "lsn": self.lsn, "cells": self.cells, "nprobe": self.nprobe}

@@ -81,6 +81,7 @@ class Select:
     predicate: Predicate | None = None
     order: tuple = ()  # extension: (column, descending)
     limit: int | None = None  # extension
+    offset: int = 0  # extension
 
 
 @dataclass(frozen=True)
