@@ -1,7 +1,15 @@
 """A corpus pipeline: rules, exact copies, near copies, the mix, and packed sequences.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
-that the stage before kept. All but the last return the columns of documents.
+that the stage before kept. All but the last return the columns of documents, and
+any further columns that docs has, whatever their names.
+
+Defined cases: a null text counts as empty, and the rules reject it with all texts
+under twenty words; null ids stay and come after all others where the least id
+decides; of rows alike in id and text one stays; of equal or linked texts the least
+id stays, of equal ids the least text; rows alike are mixed and packed alike but as
+rows of their own; texts of any length are taken whole; an empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
