@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_path
+
 #: The white space of every contract here: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -35,27 +38,57 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def stage(df: DataFrame, label: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
 
-    The folder goes when the session's JVM ends.
+    The folder goes when the session's JVM ends, or by `discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quernel/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path, **options)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again, and lets Spark's cleaner take the shuffles of what was dropped before.
+
+    Only once all that was made of them is written: a lost executor's tasks may read them until then.
+    """
+    spark = staged[0].sparkSession
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    for df in staged:
+        where = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def lean(run):
+    """A function over batches that gives memory back to the system when its task ends: workers live on and are shared by later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # not glibc
+
+    return wrapped
+
+
+#: A key is hot from more than a HOT_SHARE-th of all rows on (and HOT_ROWS): a table of hot keys has HOT_SHARE rows at most and may be broadcast.
+HOT_SHARE, HOT_ROWS = 4096, 1024
+
+
+def hot_from(rows: int) -> int:
+    """From how many rows on a key is hot, so that HOT_SHARE keys are at most."""
+    return max(HOT_ROWS, rows // HOT_SHARE + 1)
 
 
 def free_name(df: DataFrame, base: str) -> str:
