@@ -29,11 +29,14 @@ one), byte planes first: they compress. No n-gram is ever gathered from all rows
 
 Defined cases: a null text counts as empty, whose one token is the end; a null id
 is a training row; with no training row N and V are 0 and base scores are 0;
-rows that are alike get alike scores; an empty table gives an empty result.
+rows that are alike get alike scores; texts and tokens of any length are read whole
+(a text longer than a block is a block of its own); an empty table gives an empty
+result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -42,11 +45,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import stage
+from .common import discard, lean, stage
 
 FOLDS, HELD_OUT = 7, 2
 HOT = 1 << 17
-#: Longer tokens are never among the broadcast ones, which bounds their size.
+#: Longer tokens stand in the broadcast table by their SHA-256, which bounds its size.
 HOT_BYTES = 64
 BITS_A_LEVEL = 12
 PROBES = 3
@@ -65,6 +68,10 @@ def words(text: str | None) -> list[bytes]:
     return out
 
 
+def short_name(word: bytes) -> bytes:
+    return word if len(word) <= HOT_BYTES else hashlib.sha256(word).digest() + b"  sha"
+
+
 def hash_of(word: bytes) -> int:
     import xxhash
 
@@ -196,7 +203,7 @@ def _in_blocks(batches):
 
 def blocks(df: DataFrame) -> DataFrame:
     """df: doc_id, text, trained. Staged, so that a row's block and number never change."""
-    return stage(df.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_in_blocks, BLOCKS), "lm-blocks", compression="zstd")
+    return stage(df.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lean(_in_blocks), BLOCKS), "lm-blocks", compression="zstd")
 
 
 def _keys(ranges: int, asked: bool):
@@ -230,7 +237,7 @@ def _keys(ranges: int, asked: bool):
     return run
 
 
-def _answers(ranges: int):
+def _answers(ranges: int, bits_a_level: int):
     """Rows of KEYS, sorted by range. A range's filter is built from its sums and probed for what its parts ask."""
 
     def answered(where: int, held: list):
@@ -238,7 +245,7 @@ def _answers(ranges: int):
         h, back = np.unique(h, return_inverse=True)
         n = np.bincount(back, np.concatenate([_unpacked(x[5], 4) for x in held])).astype(np.int64)
         h |= (np.uint64(where) << np.uint64(_high(ranges))) if ranges > 1 else np.uint64(0)
-        levels = LogFilter.of(h, n).levels(h)
+        levels = LogFilter.of(h, n, bits_a_level).levels(h)
         at = 0
         for block, first, last, asked, low, _ in held:
             size = len(low) // 5
@@ -286,9 +293,9 @@ class LogFilter:
         self.bits, self.data = bits, data
 
     @staticmethod
-    def of(keys: np.ndarray, n: np.ndarray) -> LogFilter:
+    def of(keys: np.ndarray, n: np.ndarray, bits_a_level: int = BITS_A_LEVEL) -> LogFilter:
         q = quantised(n)
-        bits = max(64, int(q.sum()) * BITS_A_LEVEL)
+        bits = max(64, int(q.sum()) * bits_a_level)
         held = np.zeros(bits, bool)
         for level in range(1, int(q.max(initial=0)) + 1):
             held[_slots(keys[q >= level], level, bits)] = True
@@ -313,10 +320,10 @@ class Pairs:
 
     def answers(self, keys: DataFrame) -> DataFrame:
         """keys: KEYS of all training rows and of what asks."""
-        return keys.repartition("range").sortWithinPartitions("range").mapInArrow(_answers(self.ranges), ANSWERS)
+        return keys.repartition("range").sortWithinPartitions("range").mapInArrow(lean(_answers(self.ranges, BITS_A_LEVEL)), ANSWERS)
 
     def keys(self, asked: bool, rows: DataFrame | None = None) -> DataFrame:
-        return (self.rows if rows is None else rows).mapInArrow(_keys(self.ranges, asked), KEYS)
+        return (self.rows if rows is None else rows).mapInArrow(lean(_keys(self.ranges, asked)), KEYS)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The counts that the levels of a few hashes stand for."""
@@ -336,17 +343,18 @@ class Model:
 def _fit(rows: DataFrame) -> Model:
     """rows: staged BLOCKS."""
     spark = rows.sparkSession
-    counts = stage(rows.where("trained").select("text").mapInArrow(_count_words, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
+    counts = stage(rows.where("trained").select("text").mapInArrow(lean(_count_words), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, different = total["n"] or 0, total["v"]
-    short = counts.where(F.octet_length("token") <= HOT_BYTES).withColumn("grade", F.floor(F.log2("n") * 8).cast("int"))
+    name = F.when(F.octet_length("token") <= HOT_BYTES, F.col("token").cast("binary")).otherwise(F.concat(F.unhex(F.sha2("token", 256)), F.lit("  sha").cast("binary")))
+    short = counts.select(name.alias("token"), "n", F.floor(F.log2("n") * 8).cast("int").alias("grade"))
     grades = {r["grade"]: r["m"] for r in short.groupBy("grade").agg(F.count("*").alias("m")).collect()}  # 8 * LEVELS rows at most
     taken, least = 0, None
     for grade in sorted(grades, reverse=True):
         if taken + grades[grade] > HOT:
             break
         taken, least = taken + grades[grade], grade
-    hot = {r["token"].encode(): r["n"] for r in short.where(F.col("grade") >= F.lit(least)).select("token", "n").collect()} if least is not None else {}  # HOT rows at most
+    hot = {bytes(r["token"]): r["n"] for r in short.where(F.col("grade") >= F.lit(least)).select("token", "n").collect()} if least is not None else {}  # HOT rows at most
     ranges = 1 << max(0, (max(1, tokens // KEYS_A_RANGE) - 1).bit_length())
     return Model(counts, tokens, different, spark.sparkContext.broadcast(hot), Pairs(rows, ranges))
 
@@ -367,7 +375,7 @@ def _score(hot, tokens: int, different: int, ranges: int):
         if len(levels) != len(part.keys):
             raise ValueError("a part's levels are not those of its n-grams")
         lm, ids = count_of(levels), part.ids
-        c, s = np.array([hot.value.get(w, -1) for w in part.names])[ids][1:], lm[part.word][ids]
+        c, s = np.array([hot.value.get(short_name(w), -1) for w in part.names])[ids][1:], lm[part.word][ids]
         alone = (s[1:] + 1) * floor
         after = np.minimum(1.0, lm[part.pair] / np.maximum(s[:-1], 1.0))
         p = np.log10(MIX * after + (1 - MIX) * np.minimum(1.0, alone))
@@ -395,10 +403,14 @@ def _score(hot, tokens: int, different: int, ranges: int):
     return run
 
 
-def _scored(rows: DataFrame, keys: DataFrame, model: Model) -> DataFrame:
+def _scored(rows: DataFrame, keys: DataFrame, model: Model, last: bool = False) -> DataFrame:
+    """last: neither the rows nor the model are needed again."""
     n, v, pairs = model.tokens, model.different, model.pairs
     asked = rows.select("block", "row", "doc_id", "text").groupBy("block").cogroup(pairs.answers(keys).groupBy("block"))
     told = stage(asked.applyInArrow(_score(model.hot, n, v, pairs.ranges), SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    if last:
+        del asked, keys
+        discard(rows)
     tail = told.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
     sums = tail.join(model.counts, "token").groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_sum"))
     joined = told.drop("tail").join(sums, "row", "left")
@@ -417,5 +429,5 @@ def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     fold = lambda c: F.coalesce(F.crc32(c.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     rows = blocks(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (~fold(F.col(id_col))).alias("trained")))
     model = _fit(rows)
-    told = _scored(rows, model.pairs.keys(True), model)
+    told = _scored(rows, model.pairs.keys(True), model, last=True)
     return told.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
