@@ -19,7 +19,10 @@ bytes. Every text is scored whole, in one pass without a shuffle.
 Defined cases: a null text counts as empty, and an empty text has differences of
 0; where a label has no rows to learn from, the score is the other label's; a null
 id is neither held out nor learnt from; labels other than 0 and 1 are left out;
-an empty table gives an empty result.
+rows that are alike get alike scores, each a row of its own; a score of exactly the
+threshold is predicted 1; of equal hashes the lesser id is learnt from first; texts
+of any length are scored whole; an empty table gives an empty result; other columns
+don't matter, whatever their names.
 """
 
 from __future__ import annotations
