@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 
 CAPACITY = 1024
 END = 2
@@ -218,7 +218,7 @@ def _locate(steps: np.ndarray):
 def pack(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     texts = df.select(F.col(id_col).cast("long"), F.col(text_col))
-    pieces = stage(texts.mapInArrow(_encode(tokenizer or tokenizer_path(), capacity, end), PIECES), "pieces")
+    pieces = stage(texts.mapInArrow(lean(_encode(tokenizer or tokenizer_path(), capacity, end)), PIECES), "pieces")
     counts = stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     steps = np.array(sorted(plan(total, capacity)), np.int64).reshape(-1, 6)
