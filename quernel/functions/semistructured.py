@@ -63,21 +63,25 @@ def parse_geometry(text: Column) -> Column:
     t = F.trim(text)
     point = rf"(?i)^POINT\s*\(\s*({NUMBER})\s*[,\s]\s*({NUMBER})\s*\)$"
     box = rf"^\[\s*({NUMBER})\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*\]$"
-    num = lambda c, p, i: F.regexp_extract(c, p, i).cast("double")
     kind, coordinates = F.lower(F.get_json_object(t, "$.type")), F.get_json_object(t, "$.coordinates")
     pair = rf"^\[\s*({NUMBER})\s*,\s*({NUMBER})\s*\]$"
 
-    def made(kind_: str, c: Column, p: str) -> Column:
-        x0, y0 = num(c, p, 1), num(c, p, 2)
-        x1, y1 = (x0, y0) if kind_ == "point" else (num(c, p, 3), num(c, p, 4))
-        parts = [F.lit(kind_), x0, y0, x1, y1] if kind_ == "point" else [F.lit(kind_), F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1)]
-        return F.struct(*[v.alias(n) for v, n in zip(parts, ("kind", "min_x", "min_y", "max_x", "max_y"), strict=True)]).cast(GEOMETRY)
+    def made(kind_: str, c: Column) -> Column:
+        """The numbers of a text that is known to fit, taken out once."""
+        numbers = F.transform(F.regexp_extract_all(c, F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
+
+        def shape(v: Column) -> Column:
+            x0, y0 = v[0], v[1]
+            ends = [x0, y0, x0, y0] if kind_ == "point" else [F.least(x0, v[2]), F.least(y0, v[3]), F.greatest(x0, v[2]), F.greatest(y0, v[3])]
+            return F.struct(*[x.alias(n) for x, n in zip([F.lit(kind_), *ends], ("kind", "min_x", "min_y", "max_x", "max_y"), strict=True)])
+
+        return F.get(F.transform(F.array(numbers), shape), F.lit(0)).cast(GEOMETRY)
 
     return (
-        F.when(t.rlike(point), made("point", t, point))
-        .when(t.rlike(box), made("bbox", t, box))
-        .when((kind == "point") & coordinates.rlike(pair), made("point", coordinates, pair))
-        .when((kind == "bbox") & coordinates.rlike(box), made("bbox", coordinates, box))
+        F.when(t.rlike(point), made("point", t))
+        .when(t.rlike(box), made("bbox", t))
+        .when((kind == "point") & coordinates.rlike(pair), made("point", coordinates))
+        .when((kind == "bbox") & coordinates.rlike(box), made("bbox", coordinates))
     )
 
 
