@@ -1,7 +1,9 @@
 """Operators against small fixtures and plain Python."""
 
+import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 
 from quernel.errors import ConflictError, EngineError, SchemaError
 from quernel.functions import distance, semistructured, text
-from quernel.operators import joins, monitor, oplog, quantization, recursive, statistics, vectors, versioned
+from quernel.operators import joins, monitor, oplog, quantization, ranges, recursive, statistics, vectors, versioned
 from quernel.operators.partitioning import Scheme
 from quernel.plans import estimator
+from quernel.plans.refresh import Refresher
+from quernel.session import Engine
 from quernel.sources.collections import Collection
 from quernel.sql import ast
 from quernel.streaming import streams
@@ -235,3 +239,65 @@ def test_stream_of_a_log(spark, tmp_path):
 def test_sessions(spark):
     df = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:04:00"), ("u", "2024-01-01 01:00:00")], "u string, t string").select("u", F.to_timestamp("t").alias("ts"))
     assert sorted(values(streams.sessions(df, "ts", "5 minutes", ["u"], [F.count("*").alias("n")]), "n")) == [1, 2]
+
+
+def test_positions_over_ranges(spark):
+    """Places in order and in groups, where one group has most rows and keys tie or are null."""
+    r = random.Random(1)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([1, 2, None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, id long").repartition(5)
+    order = sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+    got = {x["id"]: x["at"] for x in ranges.positions(df, ["v", "id"], "at").collect()}
+    assert [got[x[2]] for x in order] == list(range(1, 501))
+    by_group = {x["id"]: x["at"] for x in ranges.numbered(df, ["g"], ["v", "id"], "at").collect()}
+    for g in ("a", "b", None):
+        assert [by_group[x[2]] for x in order if x[0] == g] == list(range(1, sum(x[0] == g for x in rows) + 1))
+    assert ranges.positions(df.where("false"), ["v"]).count() == 0
+
+
+def test_windows_over_chunks(spark, monkeypatch):
+    """Trailing windows, alerts and runs that cross the borders of chunks."""
+    r = random.Random(2)
+    rows = [(i, r.choice("xy"), float(r.randint(0, 100)), r.random() < 0.6) for i in range(400)]
+    df = spark.createDataFrame(rows, "ts long, rule_id string, value double, firing boolean").repartition(4)
+    whole = (
+        {(x["ts"], x["anomaly"], x["mean"]) for x in monitor.anomalies(df, "value", "ts", "both", ["rule_id"], baseline=20, sigmas=1.0).collect()},
+        {tuple(x) for x in monitor.alert_intervals(df, "ts").collect()},
+        {tuple(x) for x in oplog.run_lengths(df.select("ts", "rule_id"), "ts", "rule_id").collect()},
+    )
+    chunked = ranges.in_chunks
+    for name in ("monitor", "oplog"):
+        module = {"monitor": monitor, "oplog": oplog}[name]
+        monkeypatch.setattr(module, "in_chunks", lambda *a, **k: chunked(*a, **{**k, "size": 23}))
+    assert {(x["ts"], x["anomaly"], x["mean"]) for x in monitor.anomalies(df, "value", "ts", "both", ["rule_id"], baseline=20, sigmas=1.0).collect()} == whole[0]
+    assert {tuple(x) for x in monitor.alert_intervals(df, "ts").collect()} == whole[1]
+    assert {tuple(x) for x in oplog.run_lengths(df.select("ts", "rule_id"), "ts", "rule_id").collect()} == whole[2]
+    runs = [len(list(g)) for _, g in itertools.groupby(r[1] for r in rows)]
+    assert sorted(x[2] for x in whole[2]) == sorted(runs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cycles_by_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = {(r.randint(0, 14), r.randint(0, 14)) for _ in range(18)}
+    reach = set(edges)
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    got = recursive.on_cycle(spark.createDataFrame(sorted(edges), "src long, dst long"))
+    assert sorted(values(got, "node")) == sorted({a for a, b in reach if a == b})
+
+
+def test_refresher_runs_and_stops(spark):
+    e = Engine(spark)
+    e.execute("CREATE TABLE t (k INT)")
+    e.insert_frame("t", spark.range(5).withColumnRenamed("id", "k"))
+    refresher = Refresher(e)
+    job = refresher.schedule("t", 0.0)
+    refresher.start(0.01)
+    for _ in range(600):
+        if refresher.jobs[job].runs:
+            break
+        time.sleep(0.1)
+    assert refresher.cancel(job) and not refresher.cancel(job)
+    refresher.stop()
+    assert e.stats["t"][0] == 5
