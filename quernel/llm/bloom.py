@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 PROBES = 3
 CHUNK = 1 << 16
 SLOTS_A_KEY = 8
@@ -134,10 +136,12 @@ class Filter:
         return may(key)
 
 
-def build(keys: DataFrame, rows: int, repeated: bool, max_bits: int = MAX_BITS, probes: int = PROBES) -> Filter:
-    """keys: one bigint column, nulls are left out. repeated: hold the keys that may occur twice or more, else all."""
+def build(keys: DataFrame, rows: int, repeated: bool, max_bits: int = MAX_BITS, probes: int = PROBES, through=None) -> Filter:
+    """keys: one bigint column, nulls are left out; or what `through`, a function over batches, makes keys of in the same worker. repeated: hold the keys that may occur twice or more, else all."""
     bits = bits_for(rows, max_bits)
-    merged = keys.mapInArrow(_partials(bits, repeated, probes), "chunk long, once binary, twice binary").repartition("chunk").mapInArrow(_merge(repeated), "chunk long, once binary, twice binary")
+    partials = _partials(bits, repeated, probes)
+    source = partials if through is None else lambda batches: partials(through(batches))
+    merged = keys.mapInArrow(lean(source), "chunk long, once binary, twice binary").repartition("chunk").mapInArrow(lean(_merge(repeated)), "chunk long, once binary, twice binary")
     data = np.zeros(bits // 8, np.uint8)
     for r in merged.select("chunk", "once").collect():  # bits / CHUNK rows at most
         data[r.chunk * (CHUNK // 8) : (r.chunk + 1) * (CHUNK // 8)] = np.frombuffer(bytes(r.once), np.uint8)

@@ -4,30 +4,31 @@ A document's set is its different n-grams, as 64-bit hashes. Two documents link
 when ``100 * |x & y| >= percent * |x | y|``. The answer is each document's class:
 the documents it reaches by links.
 
-1. Equal sets become one node (a hash of the set; a second hash checks it), so
-   copies cost nothing further on.
+1. Equal sets become one node (a hash of the set; nodes that a second hash shows to
+   stand for different sets are told apart by that one), so copies cost nothing
+   further on.
 2. Linked sets differ in few elements, so of more parts of the hash space than that
-   some part holds the same elements of both. A set's key for each part is a hash of
-   its elements there; sizes are banded, and a set has keys for its band and the one
-   below. A two-count Bloom filter of the keys tells which may occur twice; only
-   those are sent on. Sets with one key form a list. A passage that many documents
-   share makes no list, as the rest of the part differs.
-3. Every node is verified against one pivot, the least node of all its lists, and
-   links found are joined to classes. Lists that lie in one class are done. A parity
-   bitmap of each set (about one bit an element) bounds the difference of two sets
-   from below; pairs that it rules out never have their sets sent.
-4. The lists that are left with one least node, their pivot, are a star. Bitmaps tell
-   which members may link with a member of another class; those are verified
-   against the pivot, and their relation to it is kept: elements of the pivot that
-   they lack, and their own that the pivot lacks. New links are joined to classes.
-5. Two sets of one list whose classes still differ both have the list's pivot, so
-   their overlap follows from their relations to it:
-   ``|x & y| = |p| - |Dx u Dy| + |Ax n Ay|``. Members outside the pivot's class are
-   matched against the star by an index on the relations; its lists are ordered by
-   what follows an element's position, so whole blocks that can't reach the needed
-   overlap are skipped, as are members whose class is the same already or whose
-   size or distance from the pivot rules a link out. Large stars are cut into
+   some part holds the same elements of both. The index has a list for each part's
+   position, band of sizes and content: a set is in the lists of its band and the one
+   below, and sets of other sizes are never met. A two-count Bloom filter of the keys
+   tells which lists may have two members; only those are sent. A passage that many
+   documents share makes no list, as the rest of the part differs.
+3. Every node is compared with one pivot, the least node of all its lists, if their
+   parity bitmaps (about one bit an element, which bound the difference of two sets
+   from below) allow that they are alike, linked or nearly. Its relation to the pivot
+   is kept: elements of the pivot that it lacks, and its own that the pivot lacks.
+   Links found are joined to classes.
+4. The members of a pivot are a star, and their answers follow from the pivot's: two
+   sets with one pivot overlap in ``|x & y| = |p| - |Dx u Dy| + |Ax n Ay|``, so links
+   between them need no set again. Members outside the pivot's class are matched
+   against the star by an index on the relations, whose lists are ordered by position
+   (how many elements of a member's relation are left from there on), and blocks that
+   can't reach the overlap needed are skipped. Stars with many members are cut into
    blocks, one task for each pair of blocks that has work.
+5. Lists that lie in one class are done. Of the others, which hold sets that are not
+   alike the pivot they were compared with, bitmaps tell which members may link with a
+   member of another class; those are related to the list's own pivot and matched as
+   in 4.
 
 Only relations, never all pairs of a group, are written; no list, class or
 fingerprint table reaches the driver, and what is broadcast are bounded filters.
@@ -49,18 +50,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import free_name, stage
+from .common import free_name, lean, stage
 from .lm_scoring import Words
 
 WIDTH = 5
 PERCENT = 80
 #: Slots of the key filter that a key fills.
 KEY_PROBES = 2
+#: Per cent by which a set that is related to its pivot may fall short of a link.
+ALIKE = 10
 #: Members of a block of a star, and bytes of their relations.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 BATCH = 256
 #: Words that a task remembers at a time.
-WORDS_HELD = 1 << 19
+WORDS_HELD = 1 << 17
 LAST = (1 << 63) - 1
 
 
@@ -103,10 +106,12 @@ class Sets:
             yield from sets_of(texts[i : i + BATCH], self.width, self.words)
 
 
-def node_of(s: np.ndarray) -> int:
+def node_of(s: np.ndarray, shared: frozenset = frozenset()) -> int:
+    """shared: hashes that different sets have; those sets go by their second hash."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+    node = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+    return check_of(s) if node in shared else node
 
 
 def check_of(s: np.ndarray) -> int:
@@ -179,7 +184,7 @@ def _digest(width: int, percent: int):
     return run
 
 
-def _keys(width: int, percent: int, test=None):
+def _keys(width: int, percent: int, test=None, shared: frozenset = frozenset()):
     """(node, keys) of each different set of a task; with a test, of keys that pass it, and without nodes that have none."""
 
     def run(batches):
@@ -187,7 +192,7 @@ def _keys(width: int, percent: int, test=None):
         for b in batches:
             nodes, found = [], []
             for s in sets(b.column(0).to_pylist()):
-                if len(s) and (node := node_of(s)) not in seen:
+                if len(s) and (node := node_of(s, shared)) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     found.append(parts.keys(s).view(np.int64))
@@ -278,16 +283,17 @@ def _near_members(percent: int):
     return run
 
 
-def _sets(width: int):
-    """(node, n, data, bitmap) of each different set of a task."""
+def _sets(width: int, test, shared: frozenset):
+    """(node, n, data, bitmap) of each different set of a task, of rows (text, key) whose key passes the test."""
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches):
         sets, seen = Sets(width), set()
         for b in batches:
             rows = []
+            b = b.filter(pa.array(test(b.column(1).to_numpy(zero_copy_only=False))))
             for s in sets(b.column(0).to_pylist()):
-                if len(s) and (node := node_of(s)) not in seen:
+                if len(s) and (node := node_of(s, shared)) not in seen:
                     seen.add(node)
                     rows.append((node, len(s), _short(s), bitmap_of(s)))
             if rows:
@@ -312,24 +318,6 @@ def links(overlap, a, b, percent: int):
     return overlap * (100 + percent) >= percent * (a + b)
 
 
-def _verify(percent: int):
-    """(a, b) of the pairs (pivot, node, pivot_data, data) that link."""
-
-    def run(batches):
-        last, p = None, None
-        for b in batches:
-            out = [[], []]
-            for pivot, node, pd, d in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if pivot != last:
-                    last, p = pivot, _long(pd)
-                if 100 * min(len(pd), len(d)) >= percent * max(len(pd), len(d)) and links(len(np.intersect1d(p, _long(d), assume_unique=True)), len(p), len(d) // 6, percent):
-                    out[0].append(node)
-                    out[1].append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-
-    return run
-
-
 RELATIONS = "pivot long, node long, n_pivot long, n long, lacks binary, adds binary, linked boolean"
 
 
@@ -448,6 +436,8 @@ def _match(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of edges (a, b): comp is the least node that it reaches. Alternates large and small stars until nothing changes."""
     cur = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if cur.isEmpty():
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     mark = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -466,7 +456,7 @@ def _near(bitmaps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (pivot, node) that bitmaps don't rule out."""
     x = bitmaps.select("node", "n", F.col("bitmap").alias("b"))
     p = bitmaps.select(F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("bitmap").alias("pb"))
-    return pairs.join(x, "node").join(p, "pivot").select("pivot", "node", "pn", "n", "pb", "b").mapInArrow(_near_pairs(percent), "pivot long, node long")
+    return pairs.join(x, "node").join(p, "pivot").select("pivot", "node", "pn", "n", "pb", "b").mapInArrow(lean(_near_pairs(percent)), "pivot long, node long")
 
 
 def _near_in_stars(bitmaps: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -475,7 +465,7 @@ def _near_in_stars(bitmaps: DataFrame, members: DataFrame, percent: int) -> Data
     m = members.join(stars, "pivot").join(bitmaps.select("node", "n", F.col("bitmap").alias("b")), "node")
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = m.select("pivot", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "n", "comp", "b")
-    return units.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_near_members(percent), "pivot long, node long").distinct()
+    return units.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(lean(_near_members(percent)), "pivot long, node long").distinct()
 
 
 def _met(data: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -492,24 +482,36 @@ def _named_by(first: DataFrame, second: DataFrame) -> DataFrame:
     return stage(merged.unionByName(second).groupBy("node").agg(F.min("comp").alias("comp")), "classes")
 
 
+def text_name(text):
+    """128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(id, n, node, check, ...) of every row, and (node, comp) of every node in a class of two or more."""
-    text_key = F.xxhash64(F.col(text_col))
-    rows = stage(df.select(F.col(id_col).cast("long"), F.col(text_col), text_key).mapInArrow(_digest(width, percent), "id long, n long, node long, check long, keys long, text_key long"), "digests")
+    text_key = F.xxhash64(text_name(F.col(text_col)))
+    rows = stage(df.select(F.col(id_col).cast("long"), F.col(text_col), text_name(F.col(text_col))).mapInArrow(lean(_digest(width, percent)), "id long, n long, node long, check long, keys long, text_key binary"), "digests")
+    twice_named = rows.where("node is not null").groupBy("node").agg(F.min("check").alias("k0"), F.max("check").alias("k1")).where("k0 <> k1")
+    shared_nodes = frozenset(r["node"] for r in twice_named.select("node").collect())  # n * n / 2**65 of n different sets: hardly ever any
+    if shared_nodes:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*shared_nodes), F.col("check")).otherwise(F.col("node")))
     texts = df.select(text_col)
     total = rows.agg(F.sum("keys")).first()[0] or 0
-    twice = bloom.build(texts.mapInArrow(_keys(width, percent), "key long"), total, repeated=True, probes=KEY_PROBES)
-    entries = stage(texts.mapInArrow(_keys(width, percent, twice.test()), "node long, keys array<long>"), "keys").select("node", F.explode("keys").alias("key"))
+    twice = bloom.build(texts, total, repeated=True, probes=KEY_PROBES, through=_keys(width, percent))
+    entries = stage(texts.mapInArrow(lean(_keys(width, percent, twice.test(), shared_nodes)), "node long, keys array<long>"), "keys").select("node", F.explode("keys").alias("key"))
     lists = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("key", "pivot")
     shared = stage(entries.join(lists, "key").select("key", "node", "pivot"), "lists")
     pairs = stage(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")), "pairs")
     nodes = stage(shared.select("node").distinct(), "nodes")
     # only texts of listed nodes become sets again; they are told by a hash of the text
-    wanted = stage(rows.join(nodes, "node", "left_semi").select("text_key").distinct(), "texts")
-    listed = texts.where(bloom.build(wanted, wanted.count(), repeated=False).probe(text_key))
-    data = stage(listed.mapInArrow(_sets(width), "node long, n long, data binary, bitmap binary"), "sets")
-    near = stage(_near(data, pairs, percent), "near-pairs")
-    known = stage(components(_met(data, near).mapInArrow(_verify(percent), "a long, b long")), "classes")
+    wanted = stage(rows.join(nodes, "node", "left_semi").select(F.xxhash64("text_key").alias("text_key")).distinct(), "texts")
+    listed = bloom.build(wanted, wanted.count(), repeated=False).test()
+    data = stage(df.select(text_col, text_key).mapInArrow(lean(_sets(width, listed, shared_nodes)), "node long, n long, data binary, bitmap binary"), "sets")
+    near = _near(data, pairs, max(1, percent - ALIKE))
+    related = stage(_met(data, near).mapInArrow(lean(_relate(percent)), RELATIONS), "relations")
+    known = stage(components(related.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "classes")
+    if not related.where("not linked").isEmpty():
+        known = _named_by(known, components(_rest(related, known, percent)))
     # lists that hold more than one class
     classed = shared.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = classed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
@@ -517,7 +519,7 @@ def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width
     open_pairs = stage(_near_in_stars(data, members, percent).where("pivot <> node"), "open-pairs")
     if open_pairs.isEmpty():
         return rows, known
-    related = stage(_met(data, open_pairs).mapInArrow(_relate(percent), RELATIONS), "relations")
+    related = stage(_met(data, open_pairs).mapInArrow(lean(_relate(percent)), RELATIONS), "relations")
     linked = related.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     known = _named_by(known, components(_of_classes(linked, known)))
     return rows, _named_by(known, components(_rest(related, known, percent)))
@@ -549,18 +551,17 @@ def _rest(related: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     probes = m.where("out").select(*cols, F.lit(0).alias("role"), own(F.col("out_blocks"), 1).alias("i"), each(F.col("star_blocks")).alias("j"))
     against = m.select(*cols, F.lit(1).alias("role"), each(F.col("out_blocks")).alias("i"), own(F.col("star_blocks"), 2).alias("j"))
     units = probes.unionByName(against).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return units.mapInArrow(_match(percent), "a long, b long")
+    return units.mapInArrow(lean(_match(percent)), "a long, b long")
 
 
 def named(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, n, node), and (node, comp, component_id, keep_node): a class's least id, and the node of the row that has it."""
+    """Rows (id, n, node, text_key), and (node, comp, component_id, keep_node): a class's least id, and the node of the row that has it."""
     rows, found = classes(df, text_col, id_col, width, percent)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("check").alias("k0"), F.max("check").alias("k1"))
-    nodes = nodes.withColumn("least", F.when(F.col("k0") == F.col("k1"), F.col("least")).otherwise(F.raise_error(F.lit("two different sets have one 64-bit hash")).cast("long")))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     owned = nodes.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rank = F.coalesce("least", F.lit(LAST))
     named_ = owned.groupBy("comp").agg(F.min("least").alias("component_id"), F.min(F.struct(rank.alias("r"), F.col("node").alias("k"))).alias("keep"))
-    return rows.select("id", "n", "node"), owned.select("node", "comp").join(named_, "comp").select("node", "comp", "component_id", F.col("keep.k").alias("keep_node"))
+    return rows.select("id", "n", "node", "text_key"), owned.select("node", "comp").join(named_, "comp").select("node", "comp", "component_id", F.col("keep.k").alias("keep_node"))
 
 
 def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -572,32 +573,26 @@ def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width:
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """df with one row of each class, the one with the least id (null last, then by set); rows with an empty set all stay."""
+    """df with one row of each class, the one with the least id (null last, then by set, then by text); rows with an empty set all stay. Rows are told by id and text, so no set is made again, and rows of which nothing goes don't shuffle."""
     rows, by_node = named(df, text_col, id_col, width, percent)
     keep = by_node.select("node", "keep_node", F.col("component_id").alias("keep_id"))
-    told = rows.where("node is not null").groupBy("node", "id").agg(F.count("*").alias("times")).join(keep, "node")
-    told = stage(told.withColumn("stays", (F.col("node") == F.col("keep_node")) & F.col("id").eqNullSafe(F.col("keep_id"))).select("node", "id", "times", "stays"), "near-decisions")
-    goes = told.where("not stays")
-    again = told.where("stays and times > 1")
-    node, key = free_name(df, "node"), free_name(df, "key")
-    width_ = width
-
-    @F.arrow_udf("long")
-    def node_udf(texts: pa.Array) -> pa.Array:
-        return pa.array([node_of(s) if len(s) else None for s in Sets(width_)(texts.to_pylist())], pa.int64())
-
+    told = rows.where("node is not null").groupBy("node", "id", "text_key").agg(F.count("*").alias("times"))
+    first = told.groupBy(F.col("node").alias("_node"), F.col("id").alias("_id")).agg(F.min("text_key").alias("_first"))
+    told = told.join(first, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).join(keep, "node")
+    stays = (F.col("node") == F.col("keep_node")) & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("_first"))
+    told = stage(told.select("text_key", "id", "times", stays.alias("stays")).where("not stays or times > 1"), "near-decisions")
+    goes, again = told.where("not stays"), told.where("stays")
+    name, may = free_name(df, "name"), free_name(df, "may")
     id_ = F.col(id_col).cast("long")
-    marked = df.withColumn(node, node_udf(F.col(text_col))).withColumn(key, F.xxhash64(F.col(node), id_))
-    touched = goes.select("node", "id").unionByName(again.select("node", "id"))
-    may = free_name(df, "may")
-    probe = bloom.build(touched.select(F.xxhash64("node", "id").alias("k")), touched.count(), repeated=False).probe(F.col(key))
-    marked = marked.withColumn(may, probe).drop(key)
-    straight = marked.where(~F.col(may)).drop(may, node)
+    touched = bloom.build(told.select(F.xxhash64("text_key", "id").alias("k")), told.count(), repeated=False)
+    marked = df.withColumn(name, text_name(F.col(text_col)))
+    marked = marked.withColumn(may, touched.probe(F.xxhash64(F.col(name), id_)))
+    straight = marked.where(~F.col(may)).drop(may, name)
     maybe = marked.where(F.col(may)).drop(may)
-    same = lambda g: (maybe[node] == g["node"]) & maybe[id_col].cast("long").eqNullSafe(g["id"])
-    out = maybe.join(goes, same(goes), "left_anti")
+    same = lambda d, g: d[name].eqNullSafe(g["text_key"]) & d[id_col].cast("long").eqNullSafe(g["id"])
+    out = maybe.join(goes, same(maybe, goes), "left_anti")
     if again.isEmpty():
-        return straight.unionByName(out.drop(node))
-    repeated = out.join(again, (out[node] == again["node"]) & out[id_col].cast("long").eqNullSafe(again["id"]), "left_semi").dropDuplicates([node, id_col])
-    single = out.join(again, (out[node] == again["node"]) & out[id_col].cast("long").eqNullSafe(again["id"]), "left_anti")
-    return straight.unionByName(single.drop(node)).unionByName(repeated.drop(node))
+        return straight.unionByName(out.drop(name))
+    repeated = out.join(again, same(out, again), "left_semi").dropDuplicates([name, id_col])
+    single = out.join(again, same(out, again), "left_anti")
+    return straight.unionByName(single.drop(name)).unionByName(repeated.drop(name))
