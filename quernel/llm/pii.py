@@ -7,7 +7,8 @@ then estimates how strongly a term reveals an entity near which it stands:
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 - log(n_t / n_te) / log(N / n_e)
 
 with N the documents, n_e those with the entity, n_t those with the term, n_te
-those with the term near the entity. It is 1 when a term occurs near the entity
+those with the term near the entity. Terms are whole words of three letters or
+more; other entities nearby are no surroundings. It is 1 when a term occurs near the entity
 alone, about 0 when the two are independent. Every term that stands in at least
 ``min_contexts`` different surroundings of an entity, whatever its neighbours there
 (copies of a passage are one), is judged:
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import hot_from, stage, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -54,7 +55,7 @@ GENERALISE_AT = 0.7
 REMOVE_AT = 0.9
 #: A table of terms is broadcast up to this many rows.
 MAX_BROADCAST = 100_000
-TERM = r"\p{L}[\p{L}\p{N}]{2,}"
+TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}"
 
 
 def found(text: Column, pattern) -> Column:
@@ -113,6 +114,19 @@ def _surroundings(text: Column, x: Column) -> Column:
     return F.lower(F.concat(before, F.lit(" \n "), after))
 
 
+def _masked(text: Column, spans_: Column) -> Column:
+    """text with each span's characters as spaces, so that other places stay."""
+    def step(acc, x):
+        s = F.greatest(x["s"], acc["at"])
+        kept = F.substring(text, acc["at"] + 1, s - acc["at"])
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - s, F.lit(0)))
+        return F.struct(F.greatest(x["e"], acc["at"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(F.array_sort(spans_), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans_) > 0, whole).otherwise(text)
+
+
 def _small(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     """A staged df, broadcast if its rows are few; else joins shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -126,9 +140,10 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
     """Base spans of each row and the surroundings of each entity, staged: id, sha, one span array a kind, near."""
     t = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     t = t.withColumns({k: base_spans(F.col("t"), k) for k in KINDS})
+    t = t.withColumn("masked", _masked(F.col("t"), F.concat(*KINDS)))
 
     def near(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(_value(kind, x["m"]).alias("entity"), _surroundings(F.col("t"), x).alias("around")))
+        return F.transform(kind, lambda x: F.struct(_value(kind, x["m"]).alias("entity"), _surroundings(F.col("masked"), x).alias("around")))
 
     return stage(t.select("id", F.sha2("t", 256).alias("sha"), *KINDS, F.concat(*map(near, KINDS)).alias("near")), "pii-scan")
 
@@ -183,7 +198,14 @@ def spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **thres
         known = F.get(F.filter("known", lambda k: k["term"] == F.lower(x["m"])), F.lit(0))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), known["kind"].alias("kind"), known["removed"].alias("removed"))
 
-    joined = scanned.join(term_spans(df, terms, text_col), "sha", "left")
+    # a text that many rows have meets its spans in as many tasks as it needs
+    least = hot_from(scanned.count())
+    hot = scanned.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("sha", F.ceil(F.col("n") / least).alias("salts"))  # common.HOT_SHARE rows at most
+    hot = F.broadcast(stage(hot, "pii-hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    told = term_spans(df, terms, text_col).join(hot, "sha", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    rows = scanned.drop("near").join(hot, "sha", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("salts")
+    joined = rows.join(told, ["sha", "salt"], "left")
     return joined.select("id", "sha", *KINDS, F.coalesce(F.transform(apart, labelled), empty).alias("terms"))
 
 
@@ -192,11 +214,17 @@ def _joined(kind: str, of: str) -> Column:
 
 
 def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **thresholds) -> DataFrame:
-    """The digest of each row: counts, base_sha256 and spans."""
+    """The digest of each row: counts, base_sha256 and spans; n_terms, and actions: what becomes of each term (removed, or generalised to the entity's kind) and where."""
     base = F.concat(*[_joined(k, k) for k in KINDS])
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    action = lambda x: F.concat_ws(":", F.when(x["removed"], F.lit("removed")).otherwise(F.concat(F.lit("generalised to "), x["kind"])), x["s"].cast("string"), x["e"].cast("string"))
     return spans(df, text_col, id_col, **thresholds).select(
-        F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, _joined("term", "terms")), ",").alias("spans")
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, _joined("term", "terms")), ",").alias("spans"),
+        F.size("terms").cast("long").alias("n_terms"),
+        F.array_join(F.transform("terms", action), ",").alias("actions"),
     )
 
 
