@@ -3,7 +3,9 @@
 The first pass puts the hash of every normalised text into a filter of two
 counts a slot (see `bloom`). In the second, rows whose hash can't be repeated
 pass straight through; the others are grouped by the SHA-256 of their text.
-Groups are summed before the shuffle, so one text may hold any share of rows.
+Groups are summed before the shuffle, and rows of large groups (`common.hot_from`;
+their number has a bound) meet their group by broadcast, so one text may hold any
+share of rows.
 
 Defined cases: a null text counts as empty, and empty texts equal one another;
 null ids come after all others; of rows that are alike in id and text just one
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import free_name, normalised_space, stage, text_or_empty
+from .common import free_name, hot_from, normalised_space, stage, text_or_empty
 
 LAST = (1 << 63) - 1
 
@@ -54,8 +56,12 @@ def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_bi
     out = ["id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
     straight = marked.where(~F.col("may")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha").select(*out)
     candidates = marked.where("may").select("sha", "id", "row")
-    grouped = candidates.join(groups_of(candidates), "sha").withColumn("kept", F.col("row") == F.col("keep_row")).select(*out)
-    return straight.unionByName(grouped)
+    groups = stage(groups_of(candidates), "dedup-groups")
+    least = hot_from(rows.count())
+    hot, rest = groups.where(F.col("group_size") >= least), groups.where(F.col("group_size") < least)
+    kept = lambda joined: joined.withColumn("kept", F.col("row") == F.col("keep_row")).select(*out)
+    cold = candidates.join(F.broadcast(hot.select("sha")), "sha", "left_anti")
+    return straight.unionByName(kept(candidates.join(F.broadcast(hot), "sha"))).unionByName(kept(cold.join(rest, "sha")))
 
 
 def drop_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_bits: int = bloom.MAX_BITS) -> DataFrame:
