@@ -1,13 +1,15 @@
 """Main text of web pages by minimum cut.
 
 A page becomes a row of text blocks, in page order. A classifier gives each block
-a cost for either label from what it is (length, share of links, end of sentence,
-element) and where it stands (article, navigation, names of classes and ids of
-what holds it). The costs are terminal capacities: source to block for content,
-block to sink for boilerplate. Neighbours in page order, and blocks that follow
-one another in the same parent or grandparent, are joined by smoothness edges,
-weaker with distance in the tree. Maximum flow cuts the graph where the sum of
-overruled costs and cut edges is least; what stays with the source is content.
+a cost for either label: a logistic regression on what the block is (length, share
+of links, end of sentence, element) and on what holds it (elements, roles, parts of
+class and id names), fitted to made-up pages that are labelled by construction
+(`html_samples`; the same on every run). The costs, its log-odds, are terminal
+capacities: source to block for content, block to sink for boilerplate. Neighbours
+in page order, and blocks that follow one another in the same parent or grandparent,
+are joined by smoothness edges, weaker with distance in the tree, of the size of an
+uncertain block's cost. Maximum flow cuts the graph where the sum of overruled costs
+and cut edges is least; what stays with the source is content.
 
 Blocks whose own costs outweigh all their edges are settled first, which leaves
 the minimum as it is; the flow runs on what is left. Of several minimum cuts the
@@ -18,19 +20,26 @@ text or closed where HTML closes them. Scripts, styles, forms' controls, templat
 and what the head holds never become blocks.
 
 Defined cases: a null page counts as empty, and an empty page has an empty text;
-pages that are alike get alike texts; pages of any length are read whole; an empty
-table gives an empty result; a row keeps its url, null or not.
+pages that are alike get alike texts, whatever their ids; pages of any length are
+read whole; an empty table gives an empty result; a row keeps its url, null or not;
+other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
+from functools import cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import html_samples
+from .common import lean
+from .html_samples import NAMES
+
 #: Elements of HTML by what they do to a text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -40,71 +49,63 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: An open element of the first kind ends where one of the second starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 BOUNDARY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "p": {"button", "td", "th", "caption", "object"}}
-AGAINST = {"nav", "footer", "aside", "form", "menu", "fieldset"}
-#: Parts of class and id names that speak for and against content.
-FOR_NAMES = frozenset("article content post entry story body main text blog prose".split())
-AGAINST_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside rail widget widgets menu "
-    "nav navbar navigation navi breadcrumb breadcrumbs footer foot comment comments disqus reply replies respond discussion share sharing social related recommended recommendation newsletter subscribe subscription signup login "
-    "register search form pagination pager toolbar copyright legal disclaimer".split()
-)
-HEADER_NAMES = frozenset("header masthead topbar top head".split())
-AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+#: Elements and roles that tell what they hold.
+LANDMARKS = frozenset("article main nav header footer aside form fieldset section table ul ol blockquote figure menu address details".split())
+ROLES = frozenset("main article navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+TOLD = frozenset("h1 h2 h3 h4 p li td th div span label figcaption blockquote pre body section article".split())
+KNOWN = frozenset(x for names in NAMES.values() for x in names)
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES_OF = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
-W_ARTICLE, W_AGAINST, W_NAMES = 3.0, 9.0, 2.0
-W_NEXT, W_PARENT, W_GRANDPARENT = 0.5, 1.0, 0.4
+W_NEXT, W_PARENT, W_GRANDPARENT = 0.3, 0.5, 0.2
+#: Pages that the classifier is fitted to, its ridge, and the largest cost.
+PAGES, RIDGE, MOST = 500, 1.0, 6.0
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "bias", "parent", "grandparent")
+    __slots__ = ("text", "linked", "tag", "held", "parent", "grandparent")
 
 
 class _Open:
-    __slots__ = ("tag", "bias", "content", "number")
-
-    def __init__(self, tag, bias, content, number):
-        self.tag, self.bias, self.content, self.number = tag, bias, content, number
+    """An open element. held: what is known of it and all that holds it; block: the nearest element that isn't inline, itself perhaps; above: the next such one."""
 
+    __slots__ = ("tag", "held", "number", "block", "above")
 
-def _names_of(attributes: str) -> tuple[set, set]:
-    parts, roles = set(), set()
-    for kind, a, b, c in NAMES.findall(attributes):
-        value = a or b or c
-        if kind.lower() == "role":
-            roles.update(value.lower().split())
-        else:
-            parts.update(x.lower() for x in PARTS.findall(value))
-    return parts, roles
+    def __init__(self, tag: str, held: frozenset, number: int, above: _Open | None):
+        self.tag, self.held, self.number = tag, held, number
+        inline = tag in INLINE and above is not None
+        self.block = above.block if inline else self
+        self.above = above.block if above is not None else self
 
 
 def _open(tag: str, attributes: str, above: _Open, number: int) -> _Open:
-    bias, content = above.bias, above.content
     if tag in ("html", "body"):
-        return _Open(tag, bias, content, number)
-    parts, roles = _names_of(attributes) if attributes and "=" in attributes else ((), ())
-    good = bool(FOR_NAMES.intersection(parts))
-    if tag in ("article", "main") or "main" in roles or "article" in roles:
-        bias, content = bias + W_ARTICLE, True
-    elif tag in AGAINST or AGAINST_ROLES.intersection(roles):
-        bias -= W_AGAINST
-    elif tag == "header" and not content:
-        bias -= W_AGAINST
-    if AGAINST_NAMES.intersection(parts) or (HEADER_NAMES.intersection(parts) and not content and not good):
-        bias -= W_AGAINST
-    elif good and tag not in INLINE:
-        bias += W_NAMES
-    return _Open(tag, bias, content, number)
+        return _Open(tag, above.held, number, above)
+    held, new = above.held, set()
+    if tag in LANDMARKS:
+        new.add("header in article" if tag == "header" and "<article" in held else f"<{tag}")
+    if attributes and "=" in attributes:
+        for kind, a, b, c in NAMES_OF.findall(attributes):
+            value = a or b or c
+            if kind.lower() == "role":
+                new.update(f"role {x}" for x in value.lower().split() if x in ROLES)
+            else:
+                new.update(f".{x}" for x in map(str.lower, PARTS.findall(value)) if x in KNOWN)
+    if not new:
+        return _Open(tag, held, number, above)
+    if new & {"<article", "<main", "role main", "role article"}:
+        # what holds an article tells less of its blocks than what the article holds
+        held = frozenset(x if x[0] == "~" else f"~{x}" for x in held if x not in ("<article", "<main"))
+    return _Open(tag, held | new, number, above)
 
 
 def parse(html: str) -> list[Block]:
     """The text blocks of a page."""
     out: list[Block] = []
-    stack = [_Open("", 0.0, False, 0)]
+    stack = [_Open("", frozenset(), 0, None)]
     text: list[str] = []
     links: list[str] = []
     in_link = dropped = number = 0
@@ -117,11 +118,9 @@ def parse(html: str) -> list[Block]:
             if joined:
                 b = Block()
                 b.text, b.linked = joined, len(unescape("".join(links)))
-                holders = [e for e in stack if e.tag not in INLINE]
-                own = holders[-1]
-                b.tag, b.bias = own.tag, stack[-1].bias
-                b.parent = holders[-2].number if len(holders) > 1 else 0
-                b.grandparent = holders[-3].number if len(holders) > 2 else 0
+                own = stack[-1].block
+                b.tag, b.held = own.tag, stack[-1].held
+                b.parent, b.grandparent = own.above.number, own.above.above.number
                 out.append(b)
             text, links = [], []
 
@@ -203,24 +202,43 @@ def parse(html: str) -> list[Block]:
     return out
 
 
-def content_cost(b: Block) -> float:
-    """How much more it costs to call a block boilerplate than to call it content."""
-    n = b.text.count(" ") + 1
-    score = b.bias + (-1.5 if n < 4 else -0.5 if n < 10 else 0.5 if n < 25 else 1.5)
-    share = b.linked / max(1, len(b.text))
-    if share > 0.5:
-        score -= 3.0
-    elif share > 0.25:
-        score -= 1.0
-    if b.tag == "h1":
-        score += 2.0
-    elif b.tag in ("h2", "h3", "h4", "p", "blockquote", "pre", "figcaption"):
-        score += 0.75
-    if b.text[-1] in ".!?\"'”’:;。":
-        score += 0.75
+def traits(b: Block) -> frozenset:
+    """What the classifier knows of a block."""
+    n, share = b.text.count(" ") + 1, b.linked / max(1, len(b.text))
+    own = {f"words {min(7, n.bit_length())}", f"links {min(3, int(4 * share))}", f"is {b.tag}" if b.tag in TOLD else "is other", "ends" if b.text[-1] in ".!?\"'”’:;。" else "open"}
     if "©" in b.text:
-        score -= 2.0
-    return score
+        own.add("copyright")
+    return b.held | own
+
+
+@cache
+def classifier() -> dict[str, float]:
+    """A weight a trait, and the constant: logistic regression by Newton's steps on PAGES made-up pages. Block texts are looked up in the pages' labels in order."""
+    rows, labels = [], []
+    for seed in range(PAGES):
+        html, truth = html_samples.page(seed)
+        blocks = parse(html)
+        if [b.text for b in blocks] == [t for t, _ in truth]:
+            rows += [traits(b) for b in blocks]
+            labels += [y for _, y in truth]
+    names = sorted(set().union(*rows))
+    place = {x: i + 1 for i, x in enumerate(names)}
+    x = np.zeros((len(rows), len(names) + 1), np.float32)
+    x[:, 0] = 1
+    for i, t in enumerate(rows):
+        x[i, [place[k] for k in t]] = 1
+    y, w = np.array(labels, float), np.zeros(len(names) + 1)
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        w = w - np.linalg.solve(h, x.T @ (p - y) + RIDGE * w)
+    return {"": float(w[0]), **{k: float(w[i]) for k, i in place.items()}}
+
+
+def content_cost(b: Block, weights: dict[str, float]) -> float:
+    """How much more it costs to call a block boilerplate than to call it content: its log-odds, MOST at most."""
+    odds = weights[""] + sum(weights.get(t, 0.0) for t in traits(b))
+    return max(-MOST, min(MOST, odds))
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -309,19 +327,25 @@ def _flow(cost: list[float], near: list[dict[int, float]]) -> list[bool]:
                 level[u] = -1
 
 
-def extract(html: str | None) -> str:
+def labelled(html: str | None, weights: dict[str, float]) -> list[tuple[Block, bool, bool]]:
+    """(block, what its own cost says, what the cut says) of a page, True for content."""
     blocks = parse(html or "")
-    keep = minimum_cut([content_cost(b) for b in blocks], smoothness(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    costs = [content_cost(b, weights) for b in blocks]
+    return [(b, c > 0, k) for b, c, k in zip(blocks, costs, minimum_cut(costs, smoothness(blocks)), strict=True)]
+
+
+def extract(html: str | None, weights: dict[str, float] | None = None) -> str:
+    return "\n".join(b.text for b, _, k in labelled(html, weights or classifier()) if k)
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    weights = classifier()
 
     def run(batches):
         for b in batches:
-            texts = [extract(h) for h in b.column(2).to_pylist()]
+            texts = [extract(h, weights) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(df.dtypes)
-    return df.select(id_col, url_col, html_col).mapInArrow(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    return df.select(id_col, url_col, html_col).mapInArrow(lean(run), f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
