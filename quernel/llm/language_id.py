@@ -10,24 +10,26 @@ and language: a batch of texts is scored as one product of its 0/1 matrix of
 n-grams with that table. N-grams count when ``LEAST_LANDMARKS`` landmarks hold
 them; they are told apart by ``TABLE`` hash values.
 
-The fit takes ``SAMPLE_ROWS`` labelled rows at most (in expectation), evenly for
-the languages, drawn by a hash of the text; every text is scored whole, in one
-pass without a shuffle.
+The fit takes ``SAMPLE_ROWS`` different labelled texts at most, evenly for the
+languages: of each, those with the least hashes, a text counted once however often
+it is repeated. Every text is scored whole, in one pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text when nothing can be learnt; rows with a null language, and a null
 id, are scored but not learnt from; equal scores go to the language with more
-rows, then by name; an empty table gives an empty result.
+rows, then by name; rows that are alike get alike predictions; texts of any
+length are read whole; an empty table gives an empty result; other columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import lean, stage, text_or_empty
 
 NGRAM = 4
 TABLE = 1 << 20
@@ -122,11 +124,17 @@ def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_co
     if not counts:
         return None
     languages = sorted(counts, key=lambda k: (-counts[k], k))
-    wanted = sample_rows / len(languages)
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, wanted / counts[k]))])
-    by = F.md5("text")
-    drawn = known.withColumn("by", by).where(F.conv(F.substring("by", 1, 8), 16, 10).cast("double") / float(1 << 32) < share[F.col("lang")])
-    rows = stage(drawn, "language-sample").mapInArrow(_sets, "lang string, by string, grams binary").collect()
+    most = max(1, sample_rows // len(languages))
+    known = known.withColumn("by", F.md5("text"))
+    texts = stage(known.select("lang", "by").distinct(), "language-texts")
+    different = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    # about twice what is wanted, by the hash itself, of which the least are taken: no language is ordered whole
+    place = F.conv(F.substring("by", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    few = texts.join(F.broadcast(different), "lang").where(place * F.col("n") < 2.0 * most + 20)  # a row a language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("by"))
+    drawn = stage(few.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "by"), "language-draw")  # sample_rows at most
+    sample = known.join(F.broadcast(drawn), ["lang", "by"]).dropDuplicates(["lang", "by"])
+    rows = stage(sample.select("lang", "text", "by"), "language-sample").mapInArrow(_sets, "lang string, by string, grams binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["by"], r["lang"]))
@@ -146,5 +154,5 @@ def decide(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_c
             langs, scores = held.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    told = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    told = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
     return told.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
