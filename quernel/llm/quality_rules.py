@@ -2,8 +2,9 @@
 
 A line (of those with a word) fails when it has no letter, when marks that
 prose seldom uses make up a mark in four words, when capitals are most of its
-letters, when it is a menu entry or a short boilerplate phrase, or when it equals
-an earlier line. A document is rejected when the base rules fail (too few words,
+letters, when it is a few words without an end mark (headings and menu entries of
+any language), when it is a menu entry or a short boilerplate phrase, or when it
+equals an earlier line. A document is rejected when the base rules fail (too few words,
 or too many inside repeated windows of eight words), or when the lines left hold
 less than half of its word characters.
 
@@ -31,10 +32,16 @@ MARKS_A_WORD = 0.25
 CAPITALS = 0.6
 MIN_LETTERS = 10
 BOILERPLATE_WORDS = 12
+#: Words up to which a line needs an end mark.
+SHORT_LINE = 5
+END_MARK = r"[.!?…:;。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 #: Phrases and menu entries, matched in any case.
 BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|this (web)?site uses cookies|click here|"
-    "sign up for|subscribe to|follow us|share this|powered by|skip to (main )?content|back to top|enable javascript"
+    "sign up for|subscribe to|follow us|share this|powered by|skip to (main )?content|back to top|enable javascript|"
+    "tous droits réservés|mentions légales|politique de confidentialité|accepter les cookies|cliquez ici|abonnez-vous|suivez-nous|"
+    "alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|cookies akzeptieren|hier klicken|newsletter abonnieren|folgen sie uns|"
+    "todos los derechos reservados|aviso legal|política de privacidad|aceptar (las )?cookies|haga clic aquí|suscríbete|síguenos"
 )
 MENU = "home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|contact( us)?|about( us)?|next|previous|share|print|help|faq|sitemap|top|more|read more"
 
@@ -49,6 +56,7 @@ def _line_fails(line: Column) -> Column:
     return (
         (letters == 0)
         | (marks > MARKS_A_WORD * n_words)
+        | ((n_words <= SHORT_LINE) & ~line.rlike(END_MARK))
         | ((letters >= MIN_LETTERS) & (capitals > CAPITALS * letters))
         | line.rlike(f"(?i)^{SPACE_CLASS}*({MENU}){SPACE_CLASS}*$")
         | ((n_words <= BOILERPLATE_WORDS) & line.rlike(f"(?i){BOILERPLATE}"))

@@ -80,7 +80,7 @@ m AS (SELECT doc_id, line, length(regexp_replace(line, '[^\x20\x09-\x0D]+[\x20\x
              length(regexp_replace(line, '\PL+', '', 'g')) AS letters, length(regexp_replace(line, '\P{{Lu}}+', '', 'g')) AS caps,
              length(regexp_replace(line, '[^#*$%&|<>!]+', '', 'g')) AS marks FROM f),
 k AS (SELECT doc_id, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS left_chars FROM m
-      WHERE NOT (letters = 0 OR marks > {quality_rules.MARKS_A_WORD} * nw OR (letters >= {quality_rules.MIN_LETTERS} AND caps > {quality_rules.CAPITALS} * letters)
+      WHERE NOT (letters = 0 OR marks > {quality_rules.MARKS_A_WORD} * nw OR (nw <= {quality_rules.SHORT_LINE} AND NOT regexp_matches(line, '{quality_rules.END_MARK.replace("'", "''")}')) OR (letters >= {quality_rules.MIN_LETTERS} AND caps > {quality_rules.CAPITALS} * letters)
                  OR regexp_matches(line, '(?i)^[\x20\x09-\x0D]*({quality_rules.MENU})[\x20\x09-\x0D]*$')
                  OR (nw <= {quality_rules.BOILERPLATE_WORDS} AND regexp_matches(line, '(?i){quality_rules.BOILERPLATE}'))) GROUP BY doc_id),
 b AS (SELECT l.doc_id, n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
