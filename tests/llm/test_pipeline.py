@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quernel.llm import mixing, quality_rules
@@ -47,3 +48,26 @@ def test_stages(spark, rows, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda rs: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rs)
     assert key(whole) == key(pieces) and len({r["sequence_id"] for r in whole}) == len({r["sequence_id"] for r in pieces})
+
+
+def test_odd_rows(spark, rows, tmp_path):
+    """Null and repeated ids, repeated rows, equal texts, a very long text, clashing names, and an empty table."""
+    long = " ".join(f"l{i}" for i in range(30000)) + "."
+    some = [(*r[:3], r[3], 1) for r in rows[:12]]
+    odd = [*some, some[0], (None, some[1][1], "en", "s0", 1), (None, some[1][1], "en", "s0", 1), (some[2][0], some[3][1], None, None, None), (9000, long, "en", "s9", 1), (9001, long, "en", "s9", 1), (9002, None, None, None, None)]
+    df = spark.createDataFrame(odd, DOCS).withColumn("row", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("size", F.lit(3)).withColumn("sha", F.lit(4))
+    for data in (df, df.where("false")):
+        docs = data
+        for name, step in corpus_pipeline.STAGES:
+            before, docs = docs, step(spark, docs, str(tmp_path))
+            if name != "best-fit packing":
+                assert docs.columns == df.columns
+                docs = spark.createDataFrame(docs.collect(), df.schema)
+        found = docs.collect()
+        if data is not df:
+            assert found == []
+            continue
+        kept = {x["doc_id"] for x in found}
+        assert 9000 in kept and 9001 not in kept and 9002 not in kept and None not in kept
+        pieces = [x for x in found if x["doc_id"] == 9000]
+        assert max(x["start"] + x["length"] for x in pieces) > 30000
