@@ -26,6 +26,8 @@ from .ranges import positions
 #: Queries of one batch, and rows that centroids are trained on.
 MAX_QUERIES = 10_000
 TRAIN_ROWS = 50_000
+#: A batch search of cells goes on to further ones until it has met so many rows for each neighbour wanted.
+LEAST_ROWS = 30
 
 
 def check_dimension(query: Sequence[float], dim: int | None, which: str = "query") -> None:
@@ -195,8 +197,13 @@ class CellIndex:
 
     def _probe(self, q: np.ndarray, k: int, nprobe: int) -> DataFrame:
         asks: dict[int, list[int]] = {}
+        sizes = {r["cell"]: r["count"] for r in self.df.groupBy("cell").count().collect()}  # a row a cell
         for i, v in enumerate(q):
-            for c in self.cells_of(v, nprobe):
+            held_rows = 0
+            for n, c in enumerate(self.cells_of(v, len(self.centroids))):
+                if n >= nprobe and held_rows >= LEAST_ROWS * k:
+                    break
+                held_rows += sizes.get(c, 0)
                 asks.setdefault(int(c), []).append(i)
         held = self.df.sparkSession.sparkContext.broadcast((q, asks))
         metric, id_type = self.metric, dict(self.df.dtypes)[self.id_col]

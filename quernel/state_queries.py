@@ -420,7 +420,7 @@ def ann_recall(spark, sf_dir):
 
 
 #: Cells, and those that a search reads: recall of 0.9 on tables without clusters, as `embeddings` are, needs most of them.
-CELLS, PROBED = 16, 11
+CELLS, PROBED = 16, 14
 
 
 @query()
