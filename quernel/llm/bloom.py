@@ -126,6 +126,10 @@ class Filter:
 
         return test
 
+    def drop(self) -> None:
+        """Deletes the filter on driver and executors; only once all that probes it is written."""
+        self.held.destroy()
+
     def probe(self, key: Column) -> Column:
         test = self.test()
 

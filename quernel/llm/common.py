@@ -61,8 +61,15 @@ def discard(*staged: DataFrame) -> None:
     for df in staged:
         where = jvm.org.apache.hadoop.fs.Path(df._staged_at)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()
+    drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner take the shuffles of what nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # after a collect the first round alone was seen to leave its shuffles
+        gc.collect()
+        spark.range(0, 1, 1, 1).count()
+        spark.sparkContext._jvm.System.gc()
 
 
 def lean(run):

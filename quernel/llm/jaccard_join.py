@@ -32,6 +32,8 @@ the documents it reaches by links.
 
 Only relations, never all pairs of a group, are written; no list, class or
 fingerprint table reaches the driver, and what is broadcast are bounded filters.
+Whole sets are written and sent only of nodes in a pair that bitmaps leave open, not
+of all in some list; tables and shuffles go as soon as the next step is written.
 
 Defined cases: a null text counts as empty; an empty set links with nothing, and
 the document's class is its own id; a text shorter than an n-gram is one element;
@@ -50,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import free_name, lean, stage
+from .common import discard, drop_shuffles, free_name, lean, stage
 from .lm_scoring import Words
 
 WIDTH = 5
@@ -185,17 +187,19 @@ def _digest(width: int, percent: int):
 
 
 def _keys(width: int, percent: int, test=None, shared: frozenset = frozenset()):
-    """(node, keys) of each different set of a task; with a test, of keys that pass it, and without nodes that have none."""
+    """The keys of each different set of a task; with a test, (node, keys, n, bitmap) with the keys that pass it, without nodes that have none."""
 
     def run(batches):
         sets, parts, seen = Sets(width), Parts(percent), set()
         for b in batches:
-            nodes, found = [], []
+            nodes, found, fresh = [], [], []
             for s in sets(b.column(0).to_pylist()):
                 if len(s) and (node := node_of(s, shared)) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     found.append(parts.keys(s).view(np.int64))
+                    if test is not None:
+                        fresh.append((len(s), bitmap_of(s)))
             if not nodes:
                 continue
             size = np.array([len(k) for k in found], np.int64)
@@ -206,7 +210,8 @@ def _keys(width: int, percent: int, test=None, shared: frozenset = frozenset()):
             ok = test(keys)
             counts = np.add.reduceat(ok.astype(np.int64), np.cumsum(size) - size)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys[ok]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], names=["node", "keys"]).filter(pa.array(counts > 0))
+            n, bitmaps = zip(*fresh, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists, pa.array(n, pa.int64()), pa.array(bitmaps, pa.binary())], names=["node", "keys", "n", "bitmap"]).filter(pa.array(counts > 0))
 
     return run
 
@@ -284,8 +289,8 @@ def _near_members(percent: int):
 
 
 def _sets(width: int, test, shared: frozenset):
-    """(node, n, data, bitmap) of each different set of a task, of rows (text, key) whose key passes the test."""
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    """(node, data) of each different set of a task, of rows (text, key) whose key passes the test."""
+    kinds = (pa.int64(), pa.binary())
 
     def run(batches):
         sets, seen = Sets(width), set()
@@ -295,9 +300,9 @@ def _sets(width: int, test, shared: frozenset):
             for s in sets(b.column(0).to_pylist()):
                 if len(s) and (node := node_of(s, shared)) not in seen:
                     seen.add(node)
-                    rows.append((node, len(s), _short(s), bitmap_of(s)))
+                    rows.append((node, _short(s)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "data", "bitmap"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "data"])
 
     return run
 
@@ -469,10 +474,20 @@ def _near_in_stars(bitmaps: DataFrame, members: DataFrame, percent: int) -> Data
 
 
 def _met(data: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (pivot, node) with both sets."""
-    data = data.select("node", "data")
-    pivots = data.join(pairs.select("pivot").distinct(), F.col("node") == F.col("pivot"), "left_semi").select(F.col("node").alias("p"), F.col("data").alias("pivot_data"))
-    return data.join(pairs, "node").join(pivots, F.col("pivot") == F.col("p")).select("pivot", "node", "pivot_data", "data")
+    """pairs (pivot, node) with both sets; a set that several tasks made counts once."""
+    pivots = data.join(pairs.select("pivot").distinct(), F.col("node") == F.col("pivot"), "left_semi").dropDuplicates(["node"]).select(F.col("node").alias("p"), F.col("data").alias("pivot_data"))
+    return data.dropDuplicates(["node"]).join(pairs, "node").join(pivots, F.col("pivot") == F.col("p")).select("pivot", "node", "pivot_data", "data")
+
+
+def _data(texts: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, shared: frozenset) -> DataFrame:
+    """(node, data) of the nodes of pairs, perhaps of some others and of a node more than once: one text of each, told by its hash, becomes a set again."""
+    nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
+    one = rows.where("node is not null").groupBy("node").agg(F.min(F.xxhash64("text_key")).alias("text_key"))
+    wanted = stage(one.join(nodes, "node", "left_semi").select("text_key"), "texts")
+    listed = bloom.build(wanted, wanted.count(), repeated=False)
+    data = stage(texts.mapInArrow(lean(_sets(width, listed.test(), shared)), "node long, data binary"), "sets")
+    listed.drop()
+    return data
 
 
 def _named_by(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -495,34 +510,44 @@ def classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width
     shared_nodes = frozenset(r["node"] for r in twice_named.select("node").collect())  # n * n / 2**65 of n different sets: hardly ever any
     if shared_nodes:
         rows = rows.withColumn("node", F.when(F.col("node").isin(*shared_nodes), F.col("check")).otherwise(F.col("node")))
-    texts = df.select(text_col)
+    spark, texts, told = df.sparkSession, df.select(text_col), df.select(text_col, text_key)
     total = rows.agg(F.sum("keys")).first()[0] or 0
     twice = bloom.build(texts, total, repeated=True, probes=KEY_PROBES, through=_keys(width, percent))
-    entries = stage(texts.mapInArrow(lean(_keys(width, percent, twice.test(), shared_nodes)), "node long, keys array<long>"), "keys").select("node", F.explode("keys").alias("key"))
+    drop_shuffles(spark)
+    keyed = stage(texts.mapInArrow(lean(_keys(width, percent, twice.test(), shared_nodes)), "node long, keys array<long>, n long, bitmap binary"), "keys")
+    twice.drop()
+    entries = keyed.select("node", F.explode("keys").alias("key"))
     lists = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").select("key", "pivot")
     shared = stage(entries.join(lists, "key").select("key", "node", "pivot"), "lists")
-    pairs = stage(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")), "pairs")
-    nodes = stage(shared.select("node").distinct(), "nodes")
-    # only texts of listed nodes become sets again; they are told by a hash of the text
-    wanted = stage(rows.join(nodes, "node", "left_semi").select(F.xxhash64("text_key").alias("text_key")).distinct(), "texts")
-    listed = bloom.build(wanted, wanted.count(), repeated=False).test()
-    data = stage(df.select(text_col, text_key).mapInArrow(lean(_sets(width, listed, shared_nodes)), "node long, n long, data binary, bitmap binary"), "sets")
-    near = _near(data, pairs, max(1, percent - ALIKE))
+    drop_shuffles(spark)
+    listed = shared.select("node").distinct()
+    bitmaps = stage(keyed.select("node", "n", "bitmap").join(listed, "node", "left_semi").dropDuplicates(["node"]), "bitmaps")
+    pairs = shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    near = stage(_near(bitmaps, pairs, max(1, percent - ALIKE)), "pairs")
+    discard(keyed)
+    data = _data(told, rows, near, width, shared_nodes)
     related = stage(_met(data, near).mapInArrow(lean(_relate(percent)), RELATIONS), "relations")
+    discard(data)
     known = stage(components(related.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "classes")
     if not related.where("not linked").isEmpty():
         known = _named_by(known, components(_rest(related, known, percent)))
     # lists that hold more than one class
-    classed = shared.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classed = stage(shared.join(known, "node", "left").select("key", "pivot", "node", F.coalesce("comp", "node").alias("comp")), "classed")
+    discard(shared, related)
     mixed = classed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     members = classed.join(mixed, "key", "left_semi").select("pivot", "node", "comp").distinct()
-    open_pairs = stage(_near_in_stars(data, members, percent).where("pivot <> node"), "open-pairs")
+    open_pairs = stage(_near_in_stars(bitmaps, members, percent).where("pivot <> node"), "open-pairs")
+    discard(classed, bitmaps)
     if open_pairs.isEmpty():
         return rows, known
+    data = _data(told, rows, open_pairs, width, shared_nodes)
     related = stage(_met(data, open_pairs).mapInArrow(lean(_relate(percent)), RELATIONS), "relations")
+    discard(data)
     linked = related.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     known = _named_by(known, components(_of_classes(linked, known)))
-    return rows, _named_by(known, components(_rest(related, known, percent)))
+    known = _named_by(known, components(_rest(related, known, percent)))
+    discard(related)
+    return rows, known
 
 
 def _of_classes(links_: DataFrame, known: DataFrame) -> DataFrame:

@@ -320,6 +320,34 @@ def test_jaccard_answers_from_a_pivot(spark, monkeypatch):
     assert found[0][0] > 50 and found[0][1] > 10, found  # links between members of stars, in the first round
 
 
+def test_jaccard_writes_sets_of_open_pairs_alone(spark, monkeypatch):
+    """Texts with one passage are in lists together; those that bitmaps tell apart aren't written as sets, and what was written goes."""
+    import os
+
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"t{t}w{i}" for i in range(40)]) for t in range(60)]
+    copied = texts[:4]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in copied]
+    r.shuffle(texts)
+    staged, real = [], jaccard_join.stage
+
+    def told(df, label, **options):
+        out = real(df, label, **options)
+        staged.append((label, out._staged_at.removeprefix("file:"), [x["node"] for x in out.collect()] if label in ("lists", "sets") else None))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", told)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_classes(texts, 5, 80)[1]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.decide(df, width=5, percent=80).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == len(texts) - 4
+    met = {label: set().union(*(nodes for k, _, nodes in staged if k == label)) for label in ("lists", "sets")}
+    assert len(met["lists"]) > 50 and len(met["sets"]) < 30, {k: len(v) for k, v in met.items()}
+    left = {label for label, path, _ in staged if os.path.exists(path)}
+    assert not left & {"keys", "lists", "sets", "bitmaps", "classed"}, left
+
+
 def test_jaccard_nodes_of_one_hash():
     """Different sets with one first hash are told apart by the second."""
     import numpy as np
