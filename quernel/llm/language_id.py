@@ -12,7 +12,8 @@ them; they are told apart by ``TABLE`` hash values.
 
 The fit takes ``SAMPLE_ROWS`` different labelled texts at most, evenly for the
 languages: of each, those with the least hashes, a text counted once however often
-it is repeated. Every text is scored whole, in one pass without a shuffle.
+it is repeated. They are drawn without writing any table. Every text is scored
+whole, in one pass without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text when nothing can be learnt; rows with a null language, and a null
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, stage, text_or_empty
+from .common import lean, text_or_empty
 
 NGRAM = 4
 TABLE = 1 << 20
@@ -120,21 +121,21 @@ def fit(grams: list[np.ndarray], langs: list[str], languages: list[str], landmar
 def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learns from rows outside the held-out fold; None where there are none."""
     known = df.where(F.crc32(F.col(id_col).cast("string")) % FOLDS != 0).select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text")).where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not counts:
+    told = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("different")).collect()  # a row a language
+    if not told:
         return None
+    counts = {r["lang"]: r["n"] for r in told}
     languages = sorted(counts, key=lambda k: (-counts[k], k))
     most = max(1, sample_rows // len(languages))
+    different = df.sparkSession.createDataFrame(pa.table({k: [r[k] for r in told] for k in ("lang", "different")}))  # from Arrow: no Python workers
     known = known.withColumn("by", F.md5("text"))
-    texts = stage(known.select("lang", "by").distinct(), "language-texts")
-    different = texts.groupBy("lang").agg(F.count("*").alias("n"))
     # about twice what is wanted, by the hash itself, of which the least are taken: no language is ordered whole
     place = F.conv(F.substring("by", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    few = texts.join(F.broadcast(different), "lang").where(place * F.col("n") < 2.0 * most + 20)  # a row a language
+    few = known.join(F.broadcast(different), "lang").where(place * F.col("different") < 2.0 * most + 20).select("lang", "by").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("by"))
-    drawn = stage(few.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "by"), "language-draw")  # sample_rows at most
+    drawn = few.withColumn("nth", nth).where(F.col("nth") <= most).select("lang", "by")  # sample_rows at most
     sample = known.join(F.broadcast(drawn), ["lang", "by"]).dropDuplicates(["lang", "by"])
-    rows = stage(sample.select("lang", "text", "by"), "language-sample").mapInArrow(_sets, "lang string, by string, grams binary").collect()
+    rows = sample.select("lang", "text", "by").mapInArrow(_sets, "lang string, by string, grams binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["by"], r["lang"]))

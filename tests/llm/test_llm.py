@@ -7,7 +7,9 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -647,6 +649,22 @@ def test_language_sample_of_repeated_texts(spark, monkeypatch):
     assert got[5] == "xx" and got[1001] == "yy" and got[2000] == "zz"
 
 
+def test_language_sample_is_drawn_without_files(spark, monkeypatch):
+    """Of each language the texts with the least hashes, by brute force; learning writes no table: its many small files cost a process each on executors."""
+    r = random.Random(8)
+    rows = [(i, prose(r, 8), k, "s", 0) for i, k in enumerate(r.choices(["xx", "yy", None], [6, 3, 1], k=900))]
+    rows += [(1000 + i, rows[i % 40][1], rows[i % 40][2], "s", 0) for i in range(300)] + [(None, "of no row", "xx", "s", 0), (2001, None, "yy", "s", 0)]
+    drawn, fit, folder = [], language_id.fit, Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    monkeypatch.setattr(language_id, "fit", lambda grams, langs, languages, **k: drawn.extend(zip(langs, map(bytes, grams), strict=True)) or fit(grams, langs, languages, **k))
+    before = set(folder.rglob("part-*"))
+    model = language_id.train(spark.createDataFrame(rows, DOCS).repartition(7), sample_rows=100)
+    wrote = set(folder.rglob("part-*")) - before
+    learnt = {(k, t or "") for i, t, k, *_ in rows if i is not None and k and zlib.crc32(str(i).encode()) % 5}
+    least = [sorted((hashlib.md5(t.encode()).hexdigest(), t) for x, t in learnt if x == k)[:50] for k in model.languages]
+    assert sorted(drawn) == sorted((k, np.unique(language_id.ngrams(t)).astype("<u4").tobytes()) for k, some in zip(model.languages, least, strict=True) for _, t in some)
+    assert model.languages == ["xx", "yy"] and len(drawn) == 100 and not wrote
+
+
 PAGE = """<html><head><title>No</title><style>p{}</style></head><body class="has-sidebar"><header class="site-header"><p>The best site of the world.</p></header>
 <div class="cookie-notice">We use cookies. <button>OK</button></div><div id="content"><article class="post"><header><h1>A title &amp; more</h1></header>
 <p>First para with <a href=x>a link</a> and text that   goes on, long enough.</p><aside class="ad">Buy now! Great deals for all of you out there.</aside>
