@@ -6,6 +6,8 @@ binary columns; batches go through Arrow, so each value is coded once, in place.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,24 +62,38 @@ def _with(dictionary: bytes | None):
 CODERS = {"none": (lambda b: b, lambda b: b), "lz4": (_lz4, _un_lz4), "zstd": (_zstd, _un_zstd), "delta": (_delta, _un_delta)}
 
 
-def _column(value: Column, codec: Column, which: int, dictionary: bytes | None) -> Column:
+def _column(value: Column, steps: Sequence[tuple[Column | str, int]], dictionary: bytes | None) -> Column:
+    """The value after all steps (codec, 0 to pack or 1 to unpack). One function does them value by value: each Python function that isn't nested in another alone has a worker of its own in every task, which holds a batch."""
+    named = [(c, which) if isinstance(c, str) else (None, which) for c, which in steps]
+
     @F.arrow_udf("binary")
-    def coded(values: pa.Array, codecs: pa.Array) -> pa.Array:
+    def coded(values: pa.Array, *codecs: pa.Array) -> pa.Array:
         held = _with(dictionary)
         shared = (lambda b: _zstd(b, held), lambda b: _un_zstd(b, held))
-        by = {**CODERS, "dictionary": shared}
-        return pa.array([None if v is None else by[c][which](v) for v, c in zip(values.to_pylist(), codecs.to_pylist(), strict=True)], pa.binary())
+        by, out = {**CODERS, "dictionary": shared}, []
+        for row, v in enumerate(values):
+            v, told = v.as_py(), iter(codecs)
+            for codec, which in named:
+                codec = next(told)[row].as_py() if codec is None else codec
+                v = None if v is None else by[codec][which](v)
+            out.append(v)
+        return pa.array(out, pa.binary())
 
-    return coded(value.cast("binary"), codec)
+    return coded(value.cast("binary"), *[c for c, _ in steps if not isinstance(c, str)])
 
 
 def compress(value: Column, codec: Column | str, dictionary: bytes | None = None) -> Column:
     """codec: none, lz4, zstd, delta or dictionary (Zstandard with the bytes given); null stays null."""
-    return _column(value, F.lit(codec) if isinstance(codec, str) else codec, 0, dictionary)
+    return _column(value, [(codec, 0)], dictionary)
 
 
 def decompress(value: Column, codec: Column | str, dictionary: bytes | None = None) -> Column:
-    return _column(value, F.lit(codec) if isinstance(codec, str) else codec, 1, dictionary)
+    return _column(value, [(codec, 1)], dictionary)
+
+
+def round_trip(value: Column, codecs: Sequence[Column | str], dictionary: bytes | None = None) -> Column:
+    """The value as each codec in turn has packed and unpacked it, in one Python worker a task whatever the number of codecs."""
+    return _column(value, [(c, which) for c in codecs for which in (0, 1)], dictionary)
 
 
 def choose(size: Column, lz4_ratio: Column | float = 1.0, zstd_ratio: Column | float = 1.0, threshold: int = THRESHOLD) -> Column:

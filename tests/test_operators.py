@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernel.errors import ConflictError, EngineError, SchemaError
 from quernel.functions import distance, semistructured, text
-from quernel.operators import joins, monitor, oplog, quantization, ranges, recursive, statistics, vectors, versioned
+from quernel.operators import codecs, joins, monitor, oplog, quantization, ranges, recursive, statistics, vectors, versioned
 from quernel.operators.partitioning import Scheme
 from quernel.plans import estimator
 from quernel.plans.refresh import Refresher
@@ -301,3 +301,25 @@ def test_refresher_runs_and_stops(spark):
     assert refresher.cancel(job) and not refresher.cancel(job)
     refresher.stop()
     assert e.stats["t"][0] == 5
+
+
+def test_codecs_in_turn_share_a_worker(spark):
+    """Each evaluation in a plan is a Python worker a task, which holds a batch."""
+    kinds = ["none", "lz4", "zstd", "delta", "dictionary"]
+    texts = [None, "", "a", "é" * 40, "the of and " * 500, *[chr(97 + i) * i for i in range(20)]]
+    df = spark.createDataFrame([(i, t, kinds[i % 5]) for i, t in enumerate(texts)], "id int, v string, codec string")
+    held = b"the of and a in is to"
+    back = df.select("id", codecs.round_trip(F.col("v"), [*kinds, F.col("codec"), "none", F.col("codec")], held).cast("string").alias("w"))
+    assert dict(back.collect()) == dict(enumerate(texts))
+    packed = df.select("id", "v", "codec", *[codecs.compress(F.col("v"), c, held).alias(f"p{i}") for i, c in enumerate([*kinds, F.col("codec")])])
+    for r in packed.select("*", *[codecs.decompress(F.col(f"p{i}"), c, held).cast("string").alias(f"u{i}") for i, c in enumerate([*kinds, F.col("codec")])]).collect():
+        assert {r[f"u{i}"] for i in range(6)} == {r["v"]} and r["p5"] == r[f"p{kinds.index(r['codec'])}"]
+    chain = df.select(codecs.decompress(codecs.compress(F.col("v"), "lz4"), "lz4").alias("w"))
+    for one in (back, chain):
+        assert one._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_codec_query_has_a_worker_a_task(spark):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["codec_round_trip"](spark, entry.SMALL)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
