@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -323,3 +324,55 @@ def test_codec_query_has_a_worker_a_task(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["codec_round_trip"](spark, entry.SMALL)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_nearest_by_brute_force(monkeypatch, metric):
+    """Blocks of any size, rows in any parts, ties, copies, zeros, huge and missing numbers."""
+    r = np.random.default_rng(5)
+    for trial in range(60):
+        n, k = int(r.integers(1, 60)), int(r.integers(1, 13))
+        for name in ("BLOCK_QUERIES", "BLOCK_ROWS", "BLOCK_NUMBERS"):
+            monkeypatch.setattr(vectors, name, int(r.integers(1, 20)))
+        v = r.integers(-2, 3, size=(n, 3)) * r.choice([1, 1e-3, 1e6])
+        q = v[r.integers(n, size=7)]
+        v[r.integers(n)] = [1, np.nan, 0, 1e200][trial % 4]
+        ids, cut = r.permutation(n).tolist(), int(r.integers(0, n + 1))
+        found = vectors.Nearest(q, k, metric)
+        with np.errstate(all="ignore"):
+            found.show(ids[:cut], v[:cut])
+            found.show(ids[cut:], v[cut:])
+            got = [(x["query"], x["id"], x["score"]) for b in found.batches() for x in b.to_pylist()]
+            scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+            pairs = q[:, None, :], v[None, :, :]
+            s = np.sqrt(((pairs[0] - pairs[1]) ** 2).sum(2)) if metric == "euclidean" else 1 - np.divide((pairs[0] * pairs[1]).sum(2), scale, out=np.zeros(scale.shape), where=scale > 0)
+        want = [(i, name, x) for i, row in enumerate(s.tolist()) for _, x, name in sorted((math.isnan(x), x, name) for x, name in zip(row, ids, strict=True))[:k]]
+        assert repr(got) == repr(want)
+
+
+def test_nearest_memory_is_bounded():
+    """All of 3000 queries and 10000 rows would meet in 240 MB."""
+    x, q = unit_vectors(10_000, 32), unit_vectors(3_000, 32, 7)
+    found = vectors.Nearest(q, 10, "euclidean")
+    tracemalloc.start()
+    found.show(list(range(len(x))), x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+
+
+def test_batches_of_many_queries_are_exact(spark):
+    """A vector is at no distance from itself, whatever the number of queries: 800 meet 1000 rows in a task."""
+    x = unit_vectors(4000, 64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4).cache()
+    found = vectors.batch_topk(df, x[:800].tolist(), 2, "euclidean").collect()
+    assert len(found) == 1600 and all(r["id"] == r["query"] and r["score"] == 0 for r in found if r["rank"] == 1)
+    index = vectors.CellIndex.build(df, 2, "euclidean").written()
+    found = index.search_batch(df.where("id < 800"), 2, 2).collect()
+    assert len(found) == 1600 and all(r["id"] == r["query"] and r["score"] == 0 for r in found if r["rank"] == 1)
+
+
+def test_vectors_of_a_batch_have_one_dimension(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0])], "id long, vector array<double>").coalesce(1)
+    with pytest.raises(Exception, match="different dimensions"):
+        vectors.batch_topk(df, [[1.0, 2.0]], 1).collect()
