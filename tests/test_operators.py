@@ -376,3 +376,16 @@ def test_vectors_of_a_batch_have_one_dimension(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0])], "id long, vector array<double>").coalesce(1)
     with pytest.raises(Exception, match="different dimensions"):
         vectors.batch_topk(df, [[1.0, 2.0]], 1).collect()
+
+
+def test_copies_tie_by_id_in_brute_force(spark):
+    """A copy's score depends on neither its task nor its place in a batch; both metrics, queries in several blocks."""
+    x = unit_vectors(150, 64) * np.random.default_rng(3).uniform(0.5, 2, size=(150, 1))
+    df = spark.createDataFrame([(i, x[i % 150].tolist()) for i in range(1200)], "id long, vector array<double>").repartition(3).cache()
+    for metric in ("cosine", "euclidean"):
+        found = vectors.table_topk(df, df.where("id < 40"), 12, metric, block=16).orderBy("query", "rank").collect()
+        assert len(found) == 480
+        for q in range(40):
+            d = np.linalg.norm(x - x[q], axis=1) if metric == "euclidean" else 1 - x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+            near = np.argsort(d)[:2].tolist()
+            assert [r["id"] for r in found[q * 12 : q * 12 + 12]] == ([i for i in range(1200) if i % 150 == near[0]] + [i for i in range(1200) if i % 150 == near[1]])[:12]
